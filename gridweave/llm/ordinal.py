@@ -13,33 +13,55 @@ from pyspark.sql import functions as F
 from .common import documents, labels, whole
 from .text import Words, slices
 
-WORD_BITS, GRAM_BITS = 15, 14
+WORD_BITS, GRAM_BITS, FORM_BITS = 15, 14, 10
+#: Families of features: hashed words, hashed byte trigrams, forms of words (repeated, capital, ending, length), the text's length.
+FIRST = np.cumsum([0, 1 << WORD_BITS, 1 << GRAM_BITS, 1 << FORM_BITS, 32])
+SIZE = int(FIRST[-1])
+SCALES = (3.0, 8.0, 8.0, 1.0)
 #: Labelled rows that a model is fitted on, at most: those with the smallest hash of doc_id.
 SAMPLE = 4000
-ROUNDS, RATE, DECAY, SCALE = 120, 0.08, 1e-4, 8.0
+ROUNDS, RATE, DECAY = 120, 0.08, 1e-3
 #: A document is selected if its grade is at least GRADE with this probability.
 GRADE, TAIL = 1, 0.5
 
 _GRAM = np.random.default_rng(33).integers(0, 2**32, (3, 256), dtype=np.uint64)
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Feature numbers of all words and of all byte trigrams of a slice's texts, with the first of each text (len + 1)."""
-    words = Words(data, offsets)
-    by_word = (words.hashes(lower=False) >> np.uint64(64 - WORD_BITS)).astype(np.int32)
-    n = max(0, len(data) - 2)
-    h = _GRAM[0][data[:n]] ^ _GRAM[1][data[1 : n + 1]] ^ _GRAM[2][data[2:]]
-    by_gram = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - GRAM_BITS)).astype(np.int32) + (1 << WORD_BITS)
-    return by_word, words.first, by_gram, offsets
+_ENDING = np.zeros(256, np.int64)  # letters and the rest, digits, sentence marks, symbols
+_ENDING[48:58] = 1
+_ENDING[list(b".,;:!?")] = 2
+_ENDING[list(b"#*$%&|<>@^~=+")] = 3
 
 
-def _means(weights: np.ndarray, index: np.ndarray, first: np.ndarray, short: int = 0) -> np.ndarray:
-    """Mean weight of each text's features; short: how many features end beyond the text."""
+def features(data: np.ndarray, offsets: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+    """For each family the feature numbers of a slice's texts, and each text's first and end among them; the word counts."""
+    words = Words(data, offsets)
+    hashes, n = words.hashes(), words.counts
+    by_word = (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int32)
+    k = max(0, len(data) - 2)
+    h = _GRAM[0][data[:k]] ^ _GRAM[1][data[1 : k + 1]] ^ _GRAM[2][data[2:]]
+    by_gram = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - GRAM_BITS)).astype(np.int32) + int(FIRST[1])
+    lo = np.minimum(offsets[:-1], k)
+
+    doc = words.doc_of()
+    form = np.zeros(len(hashes), np.int64)
+    for back in (1, 2):
+        form[back:] += back * ((hashes[back:] == hashes[:-back]) & (doc[back:] == doc[:-back]))
+    head, tail = data[words.starts], data[words.ends - 1]
+    form = form * 4 + _ENDING[tail]
+    form = form * 2 + ((head >= 65) & (head <= 90))
+    form = form * 2 + ((tail >= 65) & (tail <= 90))
+    by_form = (form * 16 + np.minimum(words.ends - words.starts, 15)).astype(np.int32) + int(FIRST[2])
+    by_length = np.minimum(np.log2(n + 1), 31).astype(np.int32) + int(FIRST[3])
+    each = np.arange(len(n))
+    return [(by_word, words.first[:-1], words.first[1:]), (by_gram, lo, np.clip(offsets[1:] - 2, lo, k)), (by_form, words.first[:-1], words.first[1:]), (by_length, each, each + 1)], n
+
+
+def _means(weights: np.ndarray, index: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Mean weight of each text's features; 0 without any."""
     total = np.zeros(len(index) + 1)
     np.cumsum(weights[index], out=total[1:])
-    a = np.minimum(first[:-1], len(index))
-    b = np.clip(first[1:] - short, a, len(index))
-    return (total[b] - total[a]) / np.maximum(1, b - a)
+    return (total[hi] - total[lo]) / np.maximum(1, hi - lo)
 
 
 @dataclass
@@ -51,8 +73,8 @@ class Model:
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The score and the number of words of each text."""
-        w, wf, g, gf = features(data, offsets)
-        return SCALE * (_means(self.weights, w, wf) + _means(self.weights, g, gf, 2)), np.diff(wf)
+        families, n_words = features(data, offsets)
+        return sum(scale * _means(self.weights, *f) for scale, f in zip(SCALES, families, strict=True)), n_words
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, ... by column."""
@@ -64,11 +86,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, rounds: i
 
     Thresholds are a first one and gaps through an exponential, so they stay ordered.
     """
-    size, k = (1 << WORD_BITS) + (1 << GRAM_BITS), int(grades.max(initial=0))
+    size, k = SIZE, int(grades.max(initial=0))
     if k < 1 or len(np.unique(grades)) < 2:
         return Model(np.zeros(size), np.full(max(1, k), -10.0 if grades.min(initial=1) else 10.0))
     index = np.concatenate([r[0] for r in rows])
-    value = np.concatenate([r[1] for r in rows]) * SCALE
+    value = np.concatenate([r[1] for r in rows])
     doc = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     share = np.clip([(grades > j).mean() for j in range(k)], 1e-3, 1 - 1e-3)
     start = -np.log(share / (1 - share))
@@ -113,20 +135,17 @@ def train(docs: DataFrame, rated: DataFrame, most: int = SAMPLE) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a, e, data, offsets in slices(b.column(2)):
-                w, wf, g, gf = features(data, offsets)
+                families, _ = features(data, offsets)
                 index, value = [], []
                 for i in range(e - a):
-                    at = []
-                    for f, lo, hi in ((w, wf[i], wf[i + 1]), (g, gf[i], max(gf[i], gf[i + 1] - 2))):
-                        u, n = np.unique(f[lo:hi], return_counts=True)
-                        at.append((u, n / max(1, hi - lo)))
-                    index.append(np.concatenate([x for x, _ in at]))
-                    value.append(np.concatenate([x for _, x in at]))
+                    at = [(*np.unique(f[lo[i] : hi[i]], return_counts=True), scale / max(1, hi[i] - lo[i])) for scale, (f, lo, hi) in zip(SCALES, families, strict=True)]
+                    index.append(np.concatenate([u for u, _, _ in at]))
+                    value.append(np.concatenate([n * x for _, n, x in at]))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a), b.column(1).slice(a, e - a), pa.array([x.astype("<i4").tobytes() for x in index], pa.binary()), pa.array([x.astype("<f4").tobytes() for x in value], pa.binary())], names=["doc_id", "grade", "at", "value"])
 
     got = joined.mapInArrow(run, "doc_id long, grade int, at binary, value binary").toArrow().sort_by("doc_id")
     rows = [(np.frombuffer(a, "<i4"), np.frombuffer(v, "<f4").astype(float)) for a, v in zip(got.column("at").to_pylist(), got.column("value").to_pylist(), strict=True)]
-    return fit(rows, got.column("grade").to_numpy().astype(np.int64)) if rows else Model(np.zeros((1 << WORD_BITS) + (1 << GRAM_BITS)), np.array([-10.0]))
+    return fit(rows, got.column("grade").to_numpy().astype(np.int64)) if rows else Model(np.zeros(SIZE), np.array([-10.0]))
 
 
 def graded(rated: DataFrame) -> DataFrame:

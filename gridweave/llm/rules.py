@@ -15,7 +15,9 @@ from .ordinal import bounded
 from .text import Words, mix, runs, slices
 
 #: Byte n-grams are counted in 2**BITS buckets.
-GRAM, BITS, SMOOTHING = 4, 16, 4.0
+GRAM, BITS = 4, 16
+#: N-grams that the raw corpus adds to the target's counts, so that an unseen bucket shrinks to a ratio of 1.
+PRIOR = 200_000.0
 #: Labelled rows that the trusted target and the threshold are fitted on, at most.
 SAMPLE = 20_000
 MIN_WORDS, MAX_REPEATED, RUN = 10, 20, 5
@@ -45,7 +47,8 @@ def gram_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     b = buckets(data)
     inside = np.ones(len(b), bool)
     for k in range(1, GRAM):  # n-grams that run into the next text
-        inside[offsets[1:-1][offsets[1:-1] >= k] - k if len(offsets) > 2 else []] = False
+        at = offsets[1:-1] - k
+        inside[at[(at >= 0) & (at < len(b))]] = False
     return np.bincount(b[inside], minlength=1 << BITS)
 
 
@@ -145,27 +148,31 @@ def _corpus_counts(texts: DataFrame) -> np.ndarray:
 def train(docs: DataFrame, rated: DataFrame, most: int = SAMPLE) -> Target:
     """The raw multinomial counts all of docs; the target those of at most ``most`` rated rows (doc_id, quality) of quality 1.
 
-    The threshold lies half way between what nearly all trusted texts exceed and
-    what nearly all texts of quality 0 fall short of, if these are apart, else at
-    the first. Without trusted rows every document is kept.
+    One half of the sample gives the target, the other, unseen by it, the
+    threshold: half way between what nearly all trusted texts exceed and what
+    nearly all texts of quality 0 fall short of, if these are apart, else at the
+    first. Without trusted rows every document is kept.
     """
     sample = bounded(rated.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") > 0).alias("good")).where("good is not null"), most)
     src = docs.select(F.col("doc_id").cast("long").alias("d"), "text")
-    own = src.join(F.broadcast(sample), src["d"] == sample["doc_id"]).select("text", "good")  # at most SAMPLE rows of 9 bytes
-    good = _corpus_counts(own.where("good"))
+    sample = sample.withColumn("fits", F.pmod(F.xxhash64(F.lit("target"), "doc_id"), F.lit(2)) == 0)
+    own = src.join(F.broadcast(sample), src["d"] == sample["doc_id"]).select("text", "good", "fits")  # at most SAMPLE rows of 10 bytes
+    good = _corpus_counts(own.where("good and fits"))
     if not good.sum():
         return Target(np.zeros(1 << BITS), -np.inf)
     raw = _corpus_counts(docs)
-    smooth = lambda c: np.log((c + SMOOTHING * c.sum() / (1 << BITS) / 100 + 1e-3) / (c.sum() * (1 + SMOOTHING / 100)))
-    target = Target(smooth(good) - smooth(raw), -np.inf)
+    share = np.maximum(raw, 0.5) / max(raw.sum(), 1.0)
+    target = Target(np.log((good + PRIOR * share) / (good.sum() + PRIOR) / share), -np.inf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a, e, data, offsets in slices(b.column(0)):
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(a, e - a), pa.array(target.score(data, offsets))], names=["good", "score"])
 
-    got = own.select(whole("text").alias("text"), "good").mapInArrow(run, "good boolean, score double").toArrow()
+    got = own.where("not fits").select(whole("text").alias("text"), "good").mapInArrow(run, "good boolean, score double").toArrow()
     good_row, score = np.array(got.column(0).to_pylist(), bool), got.column(1).to_numpy()
+    if not good_row.any():
+        return target
     low = float(np.quantile(score[good_row], 0.002))
     if (~good_row).any():
         high = float(np.quantile(score[~good_row], 0.95))
