@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.math import clamp
 from ..sources.grid import Metrics
-from .stencil import ALONG_I, ALONG_J, near4
+from .stencil import along_i, along_j, near4
 
 #: East, south-east, south, south-west, west, north-west, north, north-east as (di, dj). Fixed order: ties go to the first.
 D8 = ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))
@@ -44,12 +44,12 @@ def persisted(df: DataFrame) -> DataFrame:
 def around8(df: DataFrame, value: str = "h") -> DataFrame:
     """n0 .. n7: the eight neighbours in the order of D8, null beyond the edge; two windows."""
     c = F.col(value)
-    d = df.withColumns({"__s": F.lead(c).over(ALONG_J), "__n": F.lag(c).over(ALONG_J)})
+    d = df.withColumns({"__s": F.lead(c).over(along_j()), "__n": F.lag(c).over(along_j())})
     rows = {-1: "__n", 0: value, 1: "__s"}
     pick = {}
     for k, (di, dj) in enumerate(D8):
         own = F.col(rows[dj])
-        pick[f"n{k}"] = own if di == 0 else F.lead(own).over(ALONG_I) if di > 0 else F.lag(own).over(ALONG_I)
+        pick[f"n{k}"] = own if di == 0 else F.lead(own).over(along_i()) if di > 0 else F.lag(own).over(along_i())
     return d.withColumns(pick).drop("__s", "__n")
 
 
@@ -119,7 +119,7 @@ def outlets(df: DataFrame) -> DataFrame:
 def boundaries(df: DataFrame, label: str) -> DataFrame:
     """edge: 1 at the grid's edge and where a 4-neighbour's label differs."""
     c, out = F.col(label), F.lit(False)
-    d = df.withColumns({"__a": F.lag(c).over(ALONG_J), "__b": F.lead(c).over(ALONG_J)}).withColumns({"__c": F.lag(c).over(ALONG_I), "__d": F.lead(c).over(ALONG_I)})
+    d = df.withColumns({"__a": F.lag(c).over(along_j()), "__b": F.lead(c).over(along_j())}).withColumns({"__c": F.lag(c).over(along_i()), "__d": F.lead(c).over(along_i())})
     for n in ("__a", "__b", "__c", "__d"):
         out = out | ~c.eqNullSafe(F.col(n))
     return d.withColumn("edge", out.cast("double")).drop("__a", "__b", "__c", "__d")
@@ -187,14 +187,14 @@ def seed_distance(df: DataFrame, m: Metrics, seed: str) -> DataFrame:
     state = df.withColumn("__near", own)
     step = (1 << max(0, max(m.width, m.height) - 1).bit_length()) // 2
     while step >= 1:
-        d = state.withColumns({"__s": F.lead("__near", step).over(ALONG_J), "__n": F.lag("__near", step).over(ALONG_J)})
+        d = state.withColumns({"__s": F.lead("__near", step).over(along_j()), "__n": F.lag("__near", step).over(along_j())})
         names, lines = ["__near"], {}
         for k, (column, dj) in enumerate((("__n", -1), ("__near", 0), ("__s", 1))):
             for di in (-1, 0, 1):
                 if (di, dj) == (0, 0):
                     continue
                 name = f"__c{k}{di + 1}"
-                lines[name] = F.col(column) if di == 0 else F.lead(column, step).over(ALONG_I) if di > 0 else F.lag(column, step).over(ALONG_I)
+                lines[name] = F.col(column) if di == 0 else F.lead(column, step).over(along_i()) if di > 0 else F.lag(column, step).over(along_i())
                 names.append(name)
         d = d.withColumns(lines)
         # reading order decides among equal distances
@@ -224,9 +224,9 @@ def multi_flow(df: DataFrame, m: Metrics, passes: int) -> DataFrame:
         for k in range(8):
             out = out.withColumn(f"__o{k}", F.col("flow") * F.col(f"s{k}"))
         # what a cell gets from a neighbour is what that sends in the opposite direction
-        by_line = {f"__v{k}": F.col(f"__o{k}") if dj == 0 else F.lag(f"__o{k}").over(ALONG_J) if dj > 0 else F.lead(f"__o{k}").over(ALONG_J) for k, (_, dj) in enumerate(D8)}
+        by_line = {f"__v{k}": F.col(f"__o{k}") if dj == 0 else F.lag(f"__o{k}").over(along_j()) if dj > 0 else F.lead(f"__o{k}").over(along_j()) for k, (_, dj) in enumerate(D8)}
         out = out.withColumns(by_line)
-        got = {f"__g{k}": F.col(f"__v{k}") if di == 0 else F.lag(f"__v{k}").over(ALONG_I) if di > 0 else F.lead(f"__v{k}").over(ALONG_I) for k, (di, _) in enumerate(D8)}
+        got = {f"__g{k}": F.col(f"__v{k}") if di == 0 else F.lag(f"__v{k}").over(along_i()) if di > 0 else F.lead(f"__v{k}").over(along_i()) for k, (di, _) in enumerate(D8)}
         out = out.withColumns(got)
         out = out.withColumn("flow", 1.0 + sum(F.coalesce(F.col(f"__g{k}"), F.lit(0.0)) for k in range(8))).select(*state.columns)
         state = persisted(out) if n % 4 == 3 else out
@@ -245,8 +245,8 @@ def thermal(df: DataFrame, m: Metrics, talus_deg: float, strength: float, iterat
         d = d.withColumns(excess)
         share = 0.125 * min(max(strength, 0.0), 1.0) * clamp(soft if isinstance(soft, Column) else F.lit(float(soft)))
         d = d.withColumns({f"__o{k}": F.col(f"__x{k}") * share for k in range(8)})
-        d = d.withColumns({f"__v{k}": F.col(f"__o{k}") if dj == 0 else F.lag(f"__o{k}").over(ALONG_J) if dj > 0 else F.lead(f"__o{k}").over(ALONG_J) for k, (_, dj) in enumerate(D8)})
-        d = d.withColumns({f"__g{k}": F.col(f"__v{k}") if di == 0 else F.lag(f"__v{k}").over(ALONG_I) if di > 0 else F.lead(f"__v{k}").over(ALONG_I) for k, (di, _) in enumerate(D8)})
+        d = d.withColumns({f"__v{k}": F.col(f"__o{k}") if dj == 0 else F.lag(f"__o{k}").over(along_j()) if dj > 0 else F.lead(f"__o{k}").over(along_j()) for k, (_, dj) in enumerate(D8)})
+        d = d.withColumns({f"__g{k}": F.col(f"__v{k}") if di == 0 else F.lag(f"__v{k}").over(along_i()) if di > 0 else F.lead(f"__v{k}").over(along_i()) for k, (di, _) in enumerate(D8)})
         moved = sum(F.coalesce(F.col(f"__g{k}"), F.lit(0.0)) for k in range(8)) - sum(F.col(f"__o{k}") for k in range(8))
         state = d.withColumn("h", F.col("h") + moved).select(*df.columns)
         state = persisted(state) if n % 4 == 3 else state

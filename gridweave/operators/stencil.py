@@ -15,15 +15,21 @@ from pyspark.sql import functions as F
 from ..functions.math import angle_difference, clamp
 from ..sources.grid import Metrics
 
-ALONG_I = Window.partitionBy("j").orderBy("i")
-ALONG_J = Window.partitionBy("i").orderBy("j")
+
+def along_i():
+    """The line of cells through a cell in the direction of i."""
+    return Window.partitionBy("j").orderBy("i")
+
+
+def along_j():
+    return Window.partitionBy("i").orderBy("j")
 
 
 def near4(df: DataFrame, value: str = "h", step: int = 1) -> DataFrame:
     """left, right, down, up: the values at +-step, or at the edge cell beyond the edge."""
     c = F.col(value)
-    return df.withColumns({"down": F.coalesce(F.lag(c, step).over(ALONG_J), F.first(c).over(ALONG_J)), "up": F.coalesce(F.lead(c, step).over(ALONG_J), _last(c, ALONG_J))}).withColumns(
-        {"left": F.coalesce(F.lag(c, step).over(ALONG_I), F.first(c).over(ALONG_I)), "right": F.coalesce(F.lead(c, step).over(ALONG_I), _last(c, ALONG_I))}
+    return df.withColumns({"down": F.coalesce(F.lag(c, step).over(along_j()), F.first(c).over(along_j())), "up": F.coalesce(F.lead(c, step).over(along_j()), _last(c, along_j()))}).withColumns(
+        {"left": F.coalesce(F.lag(c, step).over(along_i()), F.first(c).over(along_i())), "right": F.coalesce(F.lead(c, step).over(along_i()), _last(c, along_i()))}
     )
 
 
@@ -34,8 +40,8 @@ def _last(c: Column, w) -> Column:
 def forward(df: DataFrame, m: Metrics, value: str = "h") -> DataFrame:
     """gx, gz: forward differences by metre, 0 beyond the edge."""
     c = F.col(value)
-    dz = (F.coalesce(F.lead(c).over(ALONG_J), c) - c) / max(m.dz, 1e-5)
-    dx = (F.coalesce(F.lead(c).over(ALONG_I), c) - c) / max(m.dx, 1e-5)
+    dz = (F.coalesce(F.lead(c).over(along_j()), c) - c) / max(m.dz, 1e-5)
+    dx = (F.coalesce(F.lead(c).over(along_i()), c) - c) / max(m.dx, 1e-5)
     return df.withColumn("gz", dz).withColumn("gx", dx)
 
 
@@ -95,15 +101,15 @@ def _line_sum(c: Column, w, at: Column, n: int, r: int) -> Column:
 def box_mean(df: DataFrame, m: Metrics, radius: int, value: str = "h", out: str | None = None) -> DataFrame:
     """Mean over a square with clamped edges, separably: two windows whatever the radius."""
     r = max(1, radius)
-    d = df.withColumn("__s", _line_sum(F.col(value), ALONG_I, F.col("i"), m.width, r))
-    return d.withColumn("__s", _line_sum(F.col("__s"), ALONG_J, F.col("j"), m.height, r)).withColumn(out or value, F.col("__s") / float((2 * r + 1) ** 2)).drop("__s")
+    d = df.withColumn("__s", _line_sum(F.col(value), along_i(), F.col("i"), m.width, r))
+    return d.withColumn("__s", _line_sum(F.col("__s"), along_j(), F.col("j"), m.height, r)).withColumn(out or value, F.col("__s") / float((2 * r + 1) ** 2)).drop("__s")
 
 
 def shrinking_mean(df: DataFrame, radius: int, iterations: int = 1, value: str = "h") -> DataFrame:
     """Mean over the part of a square that lies inside the grid."""
     for _ in range(max(1, iterations)):
-        d = df.withColumns({"__s": F.sum(value).over(ALONG_I.rowsBetween(-radius, radius)), "__n": F.count(F.lit(1)).over(ALONG_I.rowsBetween(-radius, radius))})
-        d = d.withColumns({"__s": F.sum("__s").over(ALONG_J.rowsBetween(-radius, radius)), "__n": F.sum("__n").over(ALONG_J.rowsBetween(-radius, radius))})
+        d = df.withColumns({"__s": F.sum(value).over(along_i().rowsBetween(-radius, radius)), "__n": F.count(F.lit(1)).over(along_i().rowsBetween(-radius, radius))})
+        d = d.withColumns({"__s": F.sum("__s").over(along_j().rowsBetween(-radius, radius)), "__n": F.sum("__n").over(along_j().rowsBetween(-radius, radius))})
         df = d.withColumn(value, F.col("__s") / F.col("__n")).drop("__s", "__n")
     return df
 
@@ -112,8 +118,8 @@ def extreme(df: DataFrame, radius: int, pick: str, value: str = "h", out: str |
     """Largest (dilation) or smallest (erosion) value of a square; clamping adds nothing to it."""
     f = {"max": F.max, "min": F.min}[pick]
     r = max(1, radius)
-    d = df.withColumn("__e", f(value).over(ALONG_I.rowsBetween(-r, r)))
-    return d.withColumn("__e", f("__e").over(ALONG_J.rowsBetween(-r, r))).withColumn(out or value, F.col("__e")).drop("__e")
+    d = df.withColumn("__e", f(value).over(along_i().rowsBetween(-r, r)))
+    return d.withColumn("__e", f("__e").over(along_j().rowsBetween(-r, r))).withColumn(out or value, F.col("__e")).drop("__e")
 
 
 def neighbourhood(df: DataFrame, m: Metrics, radius: int, value: str = "h", clamped: bool = True) -> DataFrame:
@@ -122,8 +128,8 @@ def neighbourhood(df: DataFrame, m: Metrics, radius: int, value: str = "h", clam
     Beyond the edge the edge cell's value is repeated if clamped, else left out.
     """
     r = radius
-    d = df.withColumn("__line", F.collect_list(value).over(ALONG_J.rowsBetween(-r, r)))
-    d = d.withColumn("__square", F.collect_list("__line").over(ALONG_I.rowsBetween(-r, r)))
+    d = df.withColumn("__line", F.collect_list(value).over(along_j().rowsBetween(-r, r)))
+    d = d.withColumn("__square", F.collect_list("__line").over(along_i().rowsBetween(-r, r)))
 
     def index(at: Column, step: Column, n: int) -> Column:
         return (F.least(F.greatest(at + step, F.lit(0)), F.lit(n - 1)) - F.greatest(at - r, F.lit(0)) + 1).cast("int")
