@@ -12,10 +12,12 @@ from ..functions import blend as blends
 from ..functions import masks
 from ..functions import math as fm
 from ..functions import noise
-from ..operators import combine, hydrology, pointwise, reduce, stencil
+from ..operators import combine, filters, hydrology, pointwise, reduce, stencil
 from ..sources import grid as source
+from ..sources import raster
 from ..streaming import edits
-from .base import LAYER, M, grid, layer, mask, rounded, sql_rounded, with_grid
+from . import stack
+from .base import GRID, LAYER, M, grid, layer, mask, rounded, sql_rounded, with_grid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -751,6 +753,99 @@ def budgeted_requests(spark, sf_dir):
     return edits.budgeted(e, 300, "cost", F.desc("priority"), F.col("event_id")).select("event_id", "spent")
 
 
+# ------------------------------------------------------------------ filters, regions, documents, rasters
+
+_O3 = filters.Options(amount=6.0, frequency=0.02, octaves=3, seed=9)
+
+
+def _filter_query(kind: str, o: filters.Options, digits: int = 9):
+    def run(spark, sf_dir):
+        return rounded(filters.apply(grid(spark, sf_dir), M, kind, o), digits=digits)
+
+    return run
+
+
+def _noise_filter_sql(expr: str, formula: str, stride: int) -> str:
+    ctes, last = _octaves_sql(expr, 9, 0.02, 3, stride, 2.0)
+    return f"WITH {GRID}, s AS (SELECT i, j, {_XZ} FROM c), {ctes} SELECT g.i, g.j, round(g.h + ({formula}) * 6, 9) + 0.0 AS h FROM {last} JOIN g USING (i, j)"
+
+
+_FBM01 = f"{clamp_sql('((o0 + o1 * 0.5 + o2 * 0.25) / 1.75 + 1) / 2')} * 2 - 1"
+query("filter_noise_perlin", _noise_filter_sql(_PERLIN, _FBM01, 1013))(_filter_query("noise_perlin", _O3))
+query("filter_noise_value", _noise_filter_sql(_VALUE, _FBM01, 1013))(_filter_query("noise_value", _O3))
+query("filter_noise_billow", _noise_filter_sql(_PERLIN, "(abs(o0) + abs(o1) * 0.5 + abs(o2) * 0.25) / 1.75 * 2 - 1", 1301))(_filter_query("noise_billow", _O3))
+query("filter_noise_wave", f"WITH {GRID}, s AS (SELECT i, j, {_XZ} FROM c) SELECT g.i, g.j, round(g.h + sin(x * 0.02 / 0.5) * cos(z * 0.02 * 0.7 * sqrt(0.5)) * 6, 8) + 0.0 AS h FROM s JOIN g USING (i, j)")(_filter_query("noise_wave", filters.Options(amount=6.0, frequency=0.02, anisotropy=0.5), 8))
+query("filter_noise_white", with_grid(f"SELECT i, j, round(h + ({_lattice_sql('i', 'j', 9)} / 4294967295.0::DOUBLE * 2 - 1) * 6, 9) + 0.0 AS h FROM g"))(_filter_query("noise_white", _O3))
+
+
+def _ridged_filter_sql() -> str:
+    ctes, last = _octaves_sql(_PERLIN, 9, 0.02, 3, 9173, 2.0)
+    r = lambda o: clamp_sql(f"1 - abs({o})")
+    return f"""WITH {GRID}, s AS (SELECT i, j, {_XZ} FROM c), {ctes}, r0 AS (SELECT *, {r('o0')} * {r('o0')} AS s0 FROM {last}),
+      r1 AS (SELECT *, {r('o1')} * {r('o1')} * {clamp_sql('s0 * 2')} AS s1 FROM r0), r2 AS (SELECT *, {r('o2')} * {r('o2')} * {clamp_sql('s1 * 2')} AS s2 FROM r1)
+      SELECT g.i, g.j, round(g.h + ({clamp_sql('(s0 + s1 * 0.5 + s2 * 0.25) / 1.75')} * 2 - 1) * 6, 9) + 0.0 AS h FROM r2 JOIN g USING (i, j)"""
+
+
+query("filter_noise_ridged", _ridged_filter_sql())(_filter_query("noise_ridged", _O3))
+query("filter_smooth_half", with_grid(f"SELECT g.i, g.j, round(g.h * 0.5 + t.h * 0.5, 8) + 0.0 AS h FROM g JOIN ({_square('avg(o.h) AS h', 1)}) t USING (i, j)"))(_filter_query("smooth", filters.Options(radius=1, strength=0.5), 8))
+query("filter_smooth_inverted", with_grid(f"SELECT g.i, g.j, round(g.h + (g.h - t.h), 8) + 0.0 AS h FROM g JOIN ({_square('avg(o.h) AS h', 1)}) t USING (i, j)"))(_filter_query("smooth", filters.Options(radius=1, invert=True), 8))
+query("filter_balloon", with_grid(f"SELECT n.i, n.j, round(n.h * (1 - q) + (n.h + least(top - n.h, 3)) * q, 8) + 0.0 AS h FROM (SELECT *, {clamp_sql('(degrees(atan(sqrt(((hr - h) / 10) ** 2 + ((hu - h) / 10) ** 2))) - 10) / 50')} AS q FROM n) n JOIN ({_square('max(o.h) AS top', 1)}) t USING (i, j)", _N4))(
+    _filter_query("balloon", filters.Options(radius=1, amount=3.0, slope_min=10.0, slope_max=60.0), 8)
+)
+_SM = lambda u: f"({u} * {u} * {u} * ({u} * ({u} * 6 - 15) + 10))"
+query("filter_terrace", with_grid(f"""SELECT i, j, round({{}}, 8) + 0.0 AS h FROM (SELECT *, CASE WHEN fr <= 0.75 THEN b ELSE b + {_SM('((fr - 0.75) / 0.25)')} END AS st, CASE WHEN fr <= 0.75 THEN (0.75 - fr) / 0.75 ELSE 0 END AS ed FROM
+  (SELECT *, floor((h - lo) / (size / 6)) AS b, (h - lo) / (size / 6) - floor((h - lo) / (size / 6)) AS fr FROM gr) t) q""".replace("{}", "least(greatest((lo + st * size / 6) * (1 - (1 - " + _SM("ed") + ") * 0.15 * 0.65) + h * ((1 - " + _SM("ed") + ") * 0.15 * 0.65), lo), lo + size)"), _R))(_filter_query("terrace_simple", filters.Options(amount=6.0), 8))
+query("filter_hexagons", with_grid("""SELECT g.i, g.j, round(g.h * 0.4 + o.h * 0.6, 9) + 0.0 AS h FROM (SELECT *, (i + 0.5) * 10 AS x, (j + 0.5) * 10 AS z, round(x * 2 / 3.0::DOUBLE / 50) AS q, round((-x / 3.0::DOUBLE + sqrt(3.0) / 3 * z) / 50) AS r,
+  least(1, greatest(0, 50 * 1.5 * q / 320)) AS u, least(1, greatest(0, 50 * (sqrt(3.0) / 2 * q + sqrt(3.0) * r) / 320)) AS v FROM g) g JOIN g o ON o.i = round(u * 31) AND o.j = round(v * 31)"""))(_filter_query("hexagons", filters.Options(amount=6.0, frequency=0.02)))
+
+_DOC = {
+    "nodes": [
+        {"kind": "ramp", "params": {"direction": 0.3, "height_min": 10.0, "height_max": 60.0}},
+        {"kind": "effect_filter", "params": {"filter": "add_set", "amount": 5.0}, "masks": [{"source": "above", "at": 30.0, "falloff": 10.0}]},
+        {"group": [{"kind": "flat", "params": {"height": 4.0}}, {"kind": "flat", "params": {"height": 2.0}, "blend": "multiply", "opacity": 0.5}], "opacity": 0.5},
+        {"kind": "plateau", "params": {"low": 20.0, "high": 40.0, "soft": 5.0}, "enabled": False},
+        {"kind": "plateau", "params": {"low": 25.0, "high": 45.0, "soft": 5.0}, "opacity": 0.8},
+    ]
+}
+
+
+@query("layer_document", f"""WITH {_CELLS}, a AS (SELECT i, j, 10 + 50 * {clamp_sql('((i + 0.5) / 32) * cos(0.3) + ((j + 0.5) / 32) * sin(0.3)')} AS h FROM c),
+  b AS (SELECT i, j, h + 5 * w AS h FROM (SELECT *, CASE WHEN h >= 30 THEN 1 ELSE {clamp_sql('1 - (30 - h) / 10.0')} END AS w FROM a) t), d AS (SELECT i, j, h + 0.5 * (4 * 0.5 + 4 * 2 * 0.5) AS h FROM b)
+  SELECT i, j, round(h * 0.2 + 0.8 * CASE WHEN h < 25 THEN 20 + {clamp_sql('(h - 20) / 5.0')} * 5 WHEN h > 45 THEN 45 + {clamp_sql('(h - 45) / 5.0')} * 5 * 0.25 ELSE h * 0.25 + 35 * 0.75 END, 9) + 0.0 AS h FROM d""")
+def layer_document(spark, sf_dir):
+    return rounded(stack.evaluate(spark, M, _DOC))
+
+
+@query("height_metadata", with_grid("SELECT min(h) AS min, max(h) AS max, 32 AS width, 32 AS height, 320.0::DOUBLE AS world_size_x, 320.0::DOUBLE AS world_size_z, 10.0::DOUBLE AS dx, 10.0::DOUBLE AS dz FROM g"))
+def height_metadata(spark, sf_dir):
+    return raster.metadata(grid(spark, sf_dir), M)
+
+
+@query("height_quantised", with_grid("SELECT i, j, CAST(floor((h - lo) / size * 65535) AS INT) AS q FROM gr", _R))
+def height_quantised(spark, sf_dir):
+    return raster.quantised(grid(spark, sf_dir)).select("i", "j", "q")
+
+
+@query("normal_map", with_grid("SELECT i, j, CAST(floor((-(hr - h) / 10 / s * 0.5 + 0.5) * 255) AS INT) AS r, CAST(floor((-(hu - h) / 10 / s * 0.5 + 0.5) * 255) AS INT) AS g, CAST(floor((1 / s * 0.5 + 0.5) * 255) AS INT) AS b FROM (SELECT *, sqrt(((hr - h) / 10) ** 2 + ((hu - h) / 10) ** 2 + 1) AS s FROM n) t", _N4))
+def normal_map(spark, sf_dir):
+    return raster.normals(grid(spark, sf_dir), M)
+
+
+@query("collision_vertices", with_grid("SELECT CAST(j // 4 * 8 + i // 4 + 1 AS BIGINT) AS id, i * 10.0::DOUBLE AS x, h AS y, j * 10.0::DOUBLE AS z FROM g WHERE i % 4 = 0 AND j % 4 = 0"))
+def collision_vertices(spark, sf_dir):
+    return raster.mesh(grid(spark, sf_dir), M, 4)[0]
+
+
+@query("collision_quads", "SELECT CAST(b.range * 8 + a.range + 1 AS BIGINT) AS a, CAST(b.range * 8 + a.range + 9 AS BIGINT) AS b, CAST(b.range * 8 + a.range + 10 AS BIGINT) AS c, CAST(b.range * 8 + a.range + 2 AS BIGINT) AS d FROM range(7) a, range(7) b")
+def collision_quads(spark, sf_dir):
+    return raster.mesh(grid(spark, sf_dir), M, 4)[1]
+
+
+@query("tile_packages")
+def tile_packages(spark, sf_dir):
+    return raster.tile_bytes(grid(spark, sf_dir), M)
+
+
 # ------------------------------------------------------------------ flagship
 
 @query("grid_terrain_analysis", with_grid("SELECT n.i, n.j, n.h, round(degrees(atan(sqrt(((hr - n.h) / 10) ** 2 + ((hu - n.h) / 10) ** 2))), 8) + 0.0 AS slope, CAST(coalesce(k, 255) AS INT) AS dir FROM n JOIN f ON f.i = n.i AND f.j = n.j", _N4 + ", " + _FLOW))
