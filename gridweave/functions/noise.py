@@ -231,3 +231,21 @@ def cell_feature(let: Let, x: Column, z: Column, p: Fractal, feature: str = "f1"
     f1, f2 = worley(let, (x + p.offset_x) * p.frequency, (z + p.offset_z) * p.frequency, p.seed, metric)
     v = {"f1": f1, "f2": f2, "f2-f1": f2 - f1}[feature]
     return remap(v, 0.0, 1.2, p.remap_min, p.remap_max) * p.amplitude
+
+
+def mask_noise(let: Let, kind: str, x: Column, z: Column, seed: int, frequency: float, octaves: int = 3) -> Column:
+    """Mask noise in [0, 1] by kind: perlin, ridged, billow or worley; octaves double and halve."""
+    p = Fractal(seed=seed, frequency=max(frequency, 1e-6), amplitude=1.0, octaves=octaves)
+    if kind == "worley":
+        f1, _ = worley(let, x * p.frequency, z * p.frequency, seed)
+        return clamp(f1 / 1.2)
+    if kind == "ridged":
+        total, weight = F.lit(0.0), F.lit(1.0)
+        for n, (_, a) in zip(perlin(let, p.samples(x, z, 9173)), p.levels(), strict=True):
+            (signal,) = let((1.0 - F.abs(n)) * (1.0 - F.abs(n)) * weight)
+            weight, total = clamp(signal * 2.0), total + signal * a
+        return clamp(total / sum(a for _, a in p.levels()))
+    if kind == "billow":
+        return billow(let, x, z, p)
+    total = sum(n * a for n, (_, a) in zip(perlin(let, p.samples(x, z, 1013)), p.levels(), strict=True))
+    return clamp(total / sum(a for _, a in p.levels()) * 0.5 + 0.5)

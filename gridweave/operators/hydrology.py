@@ -278,3 +278,31 @@ def channel_width(area: Column, threshold: float, scale: float) -> Column:
     return F.when(area >= threshold, scale * F.sqrt(area / threshold)).otherwise(0.0)
 
 
+
+
+def standing_water(df: DataFrame, spawn: float, viscosity: float, iterations: int, strength: float) -> DataFrame:
+    """h raised by strength times the water that stands after levelling, and wet, its share of what was spawned.
+
+    Each round reads one snapshot. A cell hands water to lower neighbours, and
+    keeps what is left and what comes from its right and lower neighbours: what
+    left and upper ones hand it is lost, which is how the levelling is defined.
+    """
+    v = min(max(viscosity, 0.05), 0.95)
+    d = df.withColumn("__w", F.lit(float(spawn)))
+    for n in range(max(1, iterations)):
+        d = d.withColumn("__s", F.col("h") + F.col("__w"))
+        s = F.col("__s")
+        ways = {"l": F.lag(s).over(along_i()), "r": F.lead(s).over(along_i())}
+        d = d.withColumns({"__u": F.lag(s).over(along_j()), "__d": F.lead(s).over(along_j())})
+        d = d.withColumns({f"__{k}": w for k, w in ways.items()})
+        d = d.withColumns({f"__f{k}": F.when(F.col(f"__{k}") < s, (s - F.col(f"__{k}")) * (1.0 - v) * 0.2).otherwise(0.0) for k in "lrud"})
+        total = F.col("__fl") + F.col("__fr") + F.col("__fu") + F.col("__fd")
+        d = d.withColumn("__k", F.when((total > F.col("__w")) & (total > 1e-6), F.col("__w") / total).otherwise(1.0))
+        d = d.withColumns({f"__f{k}": F.col(f"__f{k}") * F.col("__k") for k in "lrud"})
+        back = {"__a": F.coalesce(F.lead("__fu").over(along_j()), F.lit(0.0))}
+        d = d.withColumns(back).withColumn("__b", F.coalesce(F.lead("__fl").over(along_i()), F.lit(0.0)))
+        kept = F.greatest(F.col("__w") - (F.col("__fl") + F.col("__fr") + F.col("__fu") + F.col("__fd")), F.lit(0.0))
+        d = d.withColumn("__w", kept + F.col("__a") + F.col("__b")).select(*df.columns, "__w")
+        d = persisted(d) if n % 4 == 3 else d
+    wet = F.col("__w") > 1e-4
+    return d.select(*(c for c in df.columns if c != "h"), F.when(wet, F.col("h") + F.col("__w") * strength).otherwise(F.col("h")).alias("h"), F.when(wet, clamp(F.col("__w") / max(spawn, 1e-3))).otherwise(0.0).alias("wet"))

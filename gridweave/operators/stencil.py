@@ -189,3 +189,11 @@ def roughness(df: DataFrame, m: Metrics, radius: int) -> DataFrame:
     d = df.withColumns({"__m": F.col("h"), "__q": F.col("h") * F.col("h")})
     d = box_mean(box_mean(d, m, radius, "__m"), m, radius, "__q")
     return d.withColumn("rough", F.sqrt(F.greatest(F.col("__q") - F.col("__m") * F.col("__m"), F.lit(0.0)))).drop("__m", "__q")
+
+
+def disk_extreme(df: DataFrame, m: Metrics, radius: int, pick: str, value: str, out: str) -> DataFrame:
+    """Largest or smallest value of a disk with clamped edges."""
+    d = neighbourhood(df, m, radius, value)
+    inside = F.filter("near", lambda x: x.di * x.di + x.dj * x.dj <= radius * radius)
+    values = F.transform(inside, lambda x: x.v)
+    return d.withColumn(out, F.array_max(values) if pick == "max" else F.array_min(values)).drop("near")

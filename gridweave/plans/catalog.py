@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from ..functions import blend as blends
 from ..functions import masks
 from ..functions import math as fm
 from ..functions import noise
-from ..operators import combine, filters, hydrology, pointwise, reduce, stencil
+from ..operators import combine, derivatives, filters, hydrology, pointwise, reduce, stencil
 from ..sources import grid as source
 from ..sources import raster
 from ..streaming import edits
@@ -846,6 +847,73 @@ def tile_packages(spark, sf_dir):
     return raster.tile_bytes(grid(spark, sf_dir), M)
 
 
+# ------------------------------------------------------------------ derivatives, disks, mask noise, standing water
+
+_P = """d AS (SELECT n.i, n.j, (hr - hl) / 20 AS p, (hu - hd) / 20 AS q, (hr - 2 * n.h + hl) / 100 AS r, (hu - 2 * n.h + hd) / 100 AS t, (a.h - b.h - c2.h + e.h) / 400 AS s FROM n
+  JOIN g a ON a.i = least(n.i + 1, 31) AND a.j = least(n.j + 1, 31) JOIN g b ON b.i = least(n.i + 1, 31) AND b.j = greatest(n.j - 1, 0)
+  JOIN g c2 ON c2.i = greatest(n.i - 1, 0) AND c2.j = least(n.j + 1, 31) JOIN g e ON e.i = greatest(n.i - 1, 0) AND e.j = greatest(n.j - 1, 0)),
+w AS (SELECT i, j, r + t AS laplacian, CASE WHEN p * p + q * q < 1e-12 THEN 0 ELSE -(r * p * p + 2 * s * p * q + t * q * q) / greatest((p * p + q * q) * (1 + p * p + q * q) ** 1.5, 1e-12) END AS profile,
+  CASE WHEN p * p + q * q < 1e-12 THEN 0 ELSE -(t * p * p - 2 * s * p * q + r * q * q) / greatest((p * p + q * q) ** 1.5, 1e-12) END AS plan,
+  ((1 + q * q) * r - 2 * p * q * s + (1 + p * p) * t) / (2 * (1 + p * p + q * q) ** 1.5) AS mean, (r * t - s * s) / (1 + p * p + q * q) ** 2 AS gaussian FROM d)"""
+
+
+@query("slope_aspect_radius", with_grid("SELECT i, j, round(degrees(atan(sqrt(p * p + q * q))) / 90, 8) + 0.0 AS slope, round(CASE WHEN atan2(q, -p) < 0 THEN atan2(q, -p) + 2 * pi() ELSE atan2(q, -p) END / (2 * pi()), 7) + 0.0 AS aspect FROM d", _N4 + ", " + _P))
+def slope_aspect_radius(spark, sf_dir):
+    d = derivatives.slope(grid(spark, sf_dir), M).select("i", "j", "slope", "aspect")
+    return rounded(rounded(d, "slope", digits=8), "aspect", digits=7)
+
+
+@query("surface_curvatures", with_grid("SELECT i, j, " + ", ".join(f"round(0.5 + 0.5 * {k} / (SELECT greatest(max(abs({k})), 1e-6) FROM w), 8) + 0.0 AS {k}" for k in derivatives.CURVATURES) + ", round(greatest(mean, 0) / (SELECT greatest(max(abs(mean)), 1e-6) FROM w), 8) + 0.0 AS convex, round(greatest(-mean, 0) / (SELECT greatest(max(abs(mean)), 1e-6) FROM w), 8) + 0.0 AS concave FROM w", _N4 + ", " + _P))
+def surface_curvatures(spark, sf_dir):
+    return rounded(derivatives.curvatures(grid(spark, sf_dir), M).drop("h"), digits=8)
+
+
+_DISK = "FROM ab JOIN ab o ON o.i BETWEEN ab.i - 2 AND ab.i + 2 AND o.j BETWEEN ab.j - 2 AND ab.j + 2 AND (o.i - ab.i) ** 2 + (o.j - ab.j) ** 2 <= 4 GROUP BY 1, 2"
+
+
+@query("mask_morphology", with_grid(f"SELECT ab.i, ab.j, round(max(o.a), 9) + 0.0 AS dilated, round(min(o.a), 9) + 0.0 AS eroded {_DISK}", LAYER + ", " + _AB))
+def mask_morphology(spark, sf_dir):
+    a = _ab(spark, sf_dir).select("i", "j", "a")
+    d = stencil.disk_extreme(stencil.disk_extreme(a, M, 2, "max", "a", "dilated"), M, 2, "min", "a", "eroded")
+    return rounded(d.drop("a"))
+
+
+def _mask_noise_sql() -> str:
+    parts = {}
+    for kind, stride in (("perlin", 1013), ("billow", 6151), ("ridged", 9173)):
+        ctes, last = _octaves_sql(_PERLIN, 9, 0.13, 3, stride, 2.0, "i", "j")
+        for o in range(3):
+            ctes = re.sub(rf"\b(n{o}a|n{o}|m{o})\b", rf"{kind}_\1", ctes)
+        parts[kind] = (ctes, f"{kind}_{last}")
+    r = lambda o: f"(1 - abs({o})) * (1 - abs({o}))"
+    return f"""WITH {_CELLS}, {', '.join(c for c, _ in parts.values())}, r0 AS (SELECT *, {r('o0')} AS s0 FROM {parts['ridged'][1]}), r1 AS (SELECT *, {r('o1')} * {clamp_sql('s0 * 2')} AS s1 FROM r0), r2 AS (SELECT *, {r('o2')} * {clamp_sql('s1 * 2')} AS s2 FROM r1)
+      SELECT p.i, p.j, round({clamp_sql('(p.o0 + p.o1 * 0.5 + p.o2 * 0.25) / 1.75 * 0.5 + 0.5')}, 9) + 0.0 AS perlin, round({clamp_sql('(abs(b.o0) + abs(b.o1) * 0.5 + abs(b.o2) * 0.25) / 1.75')}, 9) + 0.0 AS billow, round({clamp_sql('(s0 + s1 * 0.5 + s2 * 0.25) / 1.75')}, 9) + 0.0 AS ridged
+      FROM {parts['perlin'][1]} p JOIN {parts['billow'][1]} b USING (i, j) JOIN r2 USING (i, j)"""
+
+
+@query("mask_noise", _mask_noise_sql())
+def mask_noise(spark, sf_dir):
+    out = source.cells(spark, M)
+    for k in ("perlin", "billow", "ridged"):  # each a stage of its own: nine octaves outgrow what one generated method may hold
+        let = noise.Let(source.cells(spark, M))
+        n = noise.mask_noise(let, k, F.col("i"), F.col("j"), 9, 0.13)
+        out = out.join(let.done(**{k: n}), ["i", "j"])
+    return rounded(out)
+
+
+def _water_sql(src: str, n: int) -> str:
+    """One round over (i, j, h, w): what each cell hands on, and what it keeps with what comes from right and below."""
+    flow = "CASE WHEN o.h + o.w < s.h + s.w THEN (s.h + s.w - o.h - o.w) * 0.7 * 0.2 ELSE 0 END"
+    return f"""f{n} AS (SELECT s.i, s.j, s.w, o.i AS ti, o.j AS tj, {flow} AS d FROM {src} s JOIN {src} o ON abs(o.i - s.i) + abs(o.j - s.j) = 1),
+      k{n} AS (SELECT i, j, ti, tj, d * CASE WHEN sum(d) OVER (PARTITION BY i, j) > w AND sum(d) OVER (PARTITION BY i, j) > 1e-6 THEN w / sum(d) OVER (PARTITION BY i, j) ELSE 1 END AS d FROM f{n}),
+      w{n} AS (SELECT s.i, s.j, s.h, greatest(s.w - coalesce((SELECT sum(d) FROM k{n} x WHERE x.i = s.i AND x.j = s.j), 0), 0) + coalesce((SELECT sum(d) FROM k{n} x WHERE x.ti = s.i AND x.tj = s.j AND (x.i > s.i OR x.j > s.j)), 0) AS w FROM {src} s)"""
+
+
+@query("standing_water", with_grid("SELECT i, j, round(h + CASE WHEN w > 1e-4 THEN w * 1.5 ELSE 0 END, 8) + 0.0 AS h, round(CASE WHEN w > 1e-4 THEN least(w / 2, 1) ELSE 0 END, 8) + 0.0 AS wet FROM w2", f"w0 AS (SELECT i, j, h, 2.0::DOUBLE AS w FROM g), {_water_sql('w0', 1)}, {_water_sql('w1', 2)}"))
+def standing_water(spark, sf_dir):
+    return rounded(hydrology.standing_water(grid(spark, sf_dir), 2.0, 0.3, 2, 1.5), digits=8)
+
+
 # ------------------------------------------------------------------ flagship
 
 @query("grid_terrain_analysis", with_grid("SELECT n.i, n.j, n.h, round(degrees(atan(sqrt(((hr - n.h) / 10) ** 2 + ((hu - n.h) / 10) ** 2))), 8) + 0.0 AS slope, CAST(coalesce(k, 255) AS INT) AS dir FROM n JOIN f ON f.i = n.i AND f.j = n.j", _N4 + ", " + _FLOW))
