@@ -160,4 +160,4 @@ def finest_ancestor(requests: DataFrame, pages: DataFrame, tile: int) -> DataFra
 def first_ids(df: DataFrame, m: Metrics, value: str, most: int = 4) -> DataFrame:
     """The first few distinct ids that are not 0, in scan order."""
     seen = df.where(F.col(value) != 0).groupBy(F.col(value).alias("id")).agg(F.min(F.col("j").cast("long") * m.width + F.col("i")).alias("at"))
-    return seen.withColumn("slot", F.row_number().over(Window.orderBy("at")) - 1).where(F.col("slot") < most).select("slot", "id")
+    return seen.orderBy("at").limit(most).withColumn("slot", F.row_number().over(Window.orderBy("at")) - 1).select("slot", "id")

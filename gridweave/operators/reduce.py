@@ -40,19 +40,30 @@ def histogram(df: DataFrame, bins: int, value: str = "h") -> DataFrame:
     return out.withColumn("fraction", F.col("n") / F.greatest(total, F.lit(1)))
 
 
+#: Equal-width buckets that the ranks of a curve are first looked up in.
+BUCKETS = 1 << 16
+
+
 def hypsometry(df: DataFrame, samples: int, value: str = "h") -> DataFrame:
     """k, area fraction and elevation of equally spaced ranks, low to high.
 
-    Ranks come from a histogram of values: equal heights share a running count,
-    so the sorted table has a row for each distinct height and no cell is ranked alone.
+    Counts by bucket of value (BUCKETS rows at most) say which buckets hold the
+    ranks; only the cells of those, one for each rank at most, are ordered, each
+    bucket by itself. No cells give no rows.
     """
     samples = min(max(samples, 8), 512)
-    counts = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    n = counts.agg(F.sum("c")).first()[0] or 0
-    upto = counts.withColumn("end", F.sum("c").over(Window.orderBy("v"))).withColumn("start", F.col("end") - F.col("c"))
+    v = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(F.col(value).cast("double").alias("v"))
+    r = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    lo, width = (r.lo, max(r.hi - r.lo, 1e-300)) if r.n else (0.0, 1.0)
+    v = v.withColumn("b", F.least(F.floor((F.col("v") - lo) / width * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
+    counts = v.groupBy("b").agg(F.count(F.lit(1)).alias("c"))
+    upto = counts.withColumn("end", F.sum("c").over(Window.orderBy("b"))).withColumn("start", F.col("end") - F.col("c"))  # BUCKETS rows at most
     ranks = df.sparkSession.range(samples).select(F.col("id").cast("int").alias("k"), (F.col("id") / (samples - 1)).alias("fraction"))
-    ranks = ranks.withColumn("rank", F.least(nearest_int(F.col("fraction") * (n - 1)), F.lit(n - 1)))
-    return F.broadcast(ranks).join(upto, (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("end"))).select("k", "fraction", F.col("v").alias("elevation"))  # at most 512 rows
+    ranks = ranks.withColumn("rank", F.least(nearest_int(F.col("fraction") * (r.n - 1)), F.lit(r.n - 1)))
+    want = F.broadcast(ranks).join(upto, (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("end"))).select("k", "fraction", F.col("b").alias("wb"), (F.col("rank") - F.col("start") + 1).alias("at"))
+    held = v.join(F.broadcast(want.select("wb").distinct()), v["b"] == F.col("wb"), "left_semi")  # at most 512 rows
+    placed = held.withColumn("at", F.row_number().over(Window.partitionBy("b").orderBy("v")))
+    return placed.join(F.broadcast(want), (placed["b"] == want["wb"]) & (placed["at"] == want["at"])).select("k", "fraction", F.col("v").alias("elevation"))
 
 
 def hypsometric_integral(df: DataFrame, samples: int, value: str = "h") -> DataFrame:

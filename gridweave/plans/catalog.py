@@ -748,9 +748,9 @@ def latest_edits(spark, sf_dir):
     return edits.latest(e, "user_id", "ts", "event_id").select("user_id", "event_type", "ts")
 
 
-@query("budgeted_requests", "SELECT event_id, spent FROM (SELECT event_id, sum(1 + event_id % 7) OVER (ORDER BY event_id % 13 DESC, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS spent FROM events WHERE event_id < 200) t WHERE spent <= 300")
+@query("budgeted_requests", "SELECT event_id, spent FROM (SELECT event_id, sum(1 + event_id % 7) OVER (ORDER BY event_id % 13 DESC, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS spent FROM events) t WHERE spent <= 300")
 def budgeted_requests(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 200").select("event_id", (1 + F.col("event_id") % 7).alias("cost"), (F.col("event_id") % 13).alias("priority"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (1 + F.col("event_id") % 7).alias("cost"), (F.col("event_id") % 13).alias("priority"))
     return edits.budgeted(e, 300, "cost", F.desc("priority"), F.col("event_id")).select("event_id", "spent")
 
 

@@ -18,10 +18,15 @@ def latest(edits: DataFrame, key: str, *order: str) -> DataFrame:
     return edits.groupBy(key).agg(F.max(F.struct(*order, *rest)).alias("e")).select(key, "e.*")
 
 
-def budgeted(requests: DataFrame, budget: int, cost: str, *order) -> DataFrame:
-    """Requests in order as long as their running cost stays within budget."""
+def budgeted(requests: DataFrame, budget: int, cost: str, *order, least: int = 1) -> DataFrame:
+    """Requests in order as long as their running cost stays within budget.
+
+    A request costs at least ``least``, so that budget / least requests can be
+    served at most; only so many are ordered, which each task first cuts down to.
+    """
     w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return requests.withColumn("spent", F.sum(cost).over(w)).where(F.col("spent") <= budget)
+    first = requests.orderBy(*order).limit(-(-budget // least))
+    return first.withColumn("spent", F.sum(cost).over(w)).where(F.col("spent") <= budget)
 
 
 def latest_sink(stream: DataFrame, path: str, key: str, *order: str):
