@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .math import clamp, mix, smoothstep, span
+from .math import clamp, in_polygon, mix, polyline_distance, smoothstep, span
 
 
 def levels(a: Column, black: float, white: float, gamma: float) -> Column:
@@ -94,3 +94,17 @@ def below(v: Column, at: float, falloff: float) -> Column:
 
 def between(v: Column, lo: float, hi: float, falloff: float) -> Column:
     return F.least(above(v, lo, falloff), below(v, hi, falloff))
+
+
+def polygon(u: Column, v: Column, points: list[tuple[float, float]], soft: float) -> Column:
+    """1 inside a polygon, falling to 0 over soft outside it; 1 everywhere for fewer than three points."""
+    if len(points) < 3:
+        return F.lit(1.0)
+    inside = in_polygon(u, v, points)
+    outside = F.lit(0.0) if soft <= 1e-6 else clamp(1.0 - polyline_distance(u, v, points, True) / soft)
+    return F.when(inside, 1.0).otherwise(outside)
+
+
+def ribbon(u: Column, v: Column, points: list[tuple[float, float]], width: float) -> Column:
+    """1 on a polyline, falling to 0 over width; 0 for fewer than two points."""
+    return F.lit(0.0) if len(points) < 2 else clamp(1.0 - polyline_distance(u, v, points) / max(width, 1e-5))

@@ -157,3 +157,21 @@ def border_blend(df: DataFrame, m: Metrics, amount: float, rim: int, target: flo
         target = df.where(at_rim).agg(F.avg("h")).first()[0] or 0.0
     b = 1.0 - smoothstep(0.0, _margin(m, amount), _to_edge(m))
     return df.withColumn("h", F.col("h") * (1.0 - b) + F.lit(target) * b)
+
+
+def soften(df: DataFrame, hardness: str, deposit: str, softness: float) -> DataFrame:
+    """hardness lowered where the deposit is a large share of its largest."""
+    soft = min(max(softness, 0.0), 1.0)
+    if soft <= 1e-6:
+        return df
+    top = max(df.agg(F.max(deposit)).first()[0] or 0.0, 1e-6)
+    return df.withColumn(hardness, clamp(F.col(hardness) * (1.0 - soft * clamp(F.col(deposit) / top))))
+
+
+def mark_deposits(df: DataFrame, material: str, deposit: str, softness: float, mark: float) -> DataFrame:
+    """material set to mark where the deposit's share of its largest, times softness, exceeds a fifth."""
+    soft = min(max(softness, 0.0), 1.0)
+    if soft <= 1e-6:
+        return df
+    top = max(df.agg(F.max(deposit)).first()[0] or 0.0, 1e-6)
+    return df.withColumn(material, F.when(clamp(F.col(deposit) / top) * soft > 0.2, mark).otherwise(F.col(material)))

@@ -914,6 +914,37 @@ def standing_water(spark, sf_dir):
     return rounded(hydrology.standing_water(grid(spark, sf_dir), 2.0, 0.3, 2, 1.5), digits=8)
 
 
+# ------------------------------------------------------------------ shapes and soil
+
+_UV = [(x / 320.0, z / 320.0) for x, z in _POLY]
+
+
+def _uv_sql(points: list) -> str:
+    """The distance and parity expressions read x and z; here these are u and v."""
+    return f"{', '.join(_seg_sql(a, b) for a, b in zip(points, points[1:], strict=False))}"
+
+
+def _uv_inside_sql() -> str:
+    hits, (xj, yj) = [], _UV[-1]
+    for xi, yi in _UV:
+        hits.append(f"CASE WHEN ({yi} > z) <> ({yj} > z) AND x < {xj - xi!r}::DOUBLE * (z - {yi}) / {max(yj - yi, 1e-12)!r}::DOUBLE + {xi} THEN 1 ELSE 0 END")
+        xj, yj = xi, yi
+    return f"({' + '.join(hits)}) % 2 = 1"
+
+
+@query("mask_shapes", f"WITH c AS (SELECT CAST(a.range AS INT) AS i, CAST(b.range AS INT) AS j FROM range(32) a, range(32) b), s AS (SELECT i, j, (i + 0.5) / 32::DOUBLE AS x, (j + 0.5) / 32::DOUBLE AS z FROM c) SELECT i, j, round(CASE WHEN {_uv_inside_sql()} THEN 1 ELSE {clamp_sql(f'1 - least({_uv_sql([*_UV, _UV[0]])}) / 0.1')} END, 8) + 0.0 AS polygon, round({clamp_sql(f'1 - least({_uv_sql(_UV)}) / 0.08')}, 8) + 0.0 AS ribbon FROM s")
+def mask_shapes(spark, sf_dir):
+    c = source.cells(spark, M)
+    u, v = (F.col("i") + 0.5) / 32, (F.col("j") + 0.5) / 32
+    return rounded(c.select("i", "j", masks.polygon(u, v, _UV, 0.1).alias("polygon"), masks.ribbon(u, v, _UV, 0.08).alias("ribbon")), digits=8)
+
+
+@query("soil_feedback", with_grid(f"SELECT i, j, round({clamp_sql('a * (1 - 0.6 * b)')}, 10) + 0.0 AS hardness, round(CASE WHEN b * 0.6 > 0.2 THEN 0.5 ELSE a END, 10) + 0.0 AS material, round(a + (1 - a) * 0.4 * b, 10) + 0.0 AS rooted FROM ab", LAYER + ", " + _AB))
+def soil_feedback(spark, sf_dir):
+    d = _ab(spark, sf_dir).select("i", "j", F.col("a").alias("hardness"), F.col("a").alias("material"), pointwise.root_cohesion(F.col("a"), F.col("b"), 0.4).alias("rooted"), "b")
+    return rounded(reduce.mark_deposits(reduce.soften(d, "hardness", "b", 0.6), "material", "b", 0.6, 0.5).drop("b"), digits=10)
+
+
 # ------------------------------------------------------------------ flagship
 
 @query("grid_terrain_analysis", with_grid("SELECT n.i, n.j, n.h, round(degrees(atan(sqrt(((hr - n.h) / 10) ** 2 + ((hu - n.h) / 10) ** 2))), 8) + 0.0 AS slope, CAST(coalesce(k, 255) AS INT) AS dir FROM n JOIN f ON f.i = n.i AND f.j = n.j", _N4 + ", " + _FLOW))
