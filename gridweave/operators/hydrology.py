@@ -7,40 +7,19 @@ a lost executor costs a reread and no plan grows with the number of rounds.
 
 from __future__ import annotations
 
-import atexit
 import math
-import shutil
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.math import clamp
 from ..sources.grid import Metrics
+from ..sources.scratch import persisted
 from .stencil import along_i, along_j, near4
 
 #: East, south-east, south, south-west, west, north-west, north, north-east as (di, dj). Fixed order: ties go to the first.
 D8 = ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))
 
-_own: str | None = None
-
-
-def persisted(df: DataFrame) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir (one of our own where unset) and read back."""
-    global _own
-    spark: SparkSession = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if _own is None:
-            _own = tempfile.mkdtemp(prefix="gridweave-")
-            atexit.register(shutil.rmtree, _own, True)
-        root = f"file://{_own}"
-    path = f"{root.rstrip('/')}/gridweave/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def around8(df: DataFrame, value: str = "h") -> DataFrame:
     """n0 .. n7: the eight neighbours in the order of D8, null beyond the edge; two windows."""
     c = F.col(value)
