@@ -2,42 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import persisted as materialize
+
+__all__ = ["SPACE", "WORD", "documents", "labels", "materialize", "whole"]
+
 #: Java regular expressions for white space and words; the same characters as in ``text._WS``.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_root: str | None = None
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; one of our own only where that is unset."""
-    global _own_root
-    if root := spark.conf.get("spark.checkpoint.dir", None):
-        return root.rstrip("/")
-    if _own_root is None:
-        _own_root = tempfile.mkdtemp(prefix="gridweave-")
-        atexit.register(shutil.rmtree, _own_root, True)
-    return f"file://{_own_root}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back, which cuts its lineage.
-
-    A lost executor then costs a task that rereads files, not the stages above.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/gridweave/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
