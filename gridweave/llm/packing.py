@@ -16,48 +16,98 @@ from .common import documents, materialize, whole
 
 CAPACITY, END = 4096, 1
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a task remembers; twice as many at most, in two generations.
-REMEMBERED = 150_000
+#: Words, and as many stems, whose ids a worker remembers; twice as many at most, in two generations.
+REMEMBERED = 200_000
+_MARKS = b".,;:!?"
 
 
-class Encoder(dict):
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes for themselves, others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spare = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+
+
+class _Memory:
+    """A dict that forgets: when it is full, what was not used since it was last full goes."""
+
+    def __init__(self):
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def get(self, key: bytes) -> bytes | None:
+        if (ids := self.new.get(key)) is None and (ids := self.old.get(key)) is not None:
+            self.new[key] = ids
+        return ids
+
+    def rest(self) -> None:
+        if len(self.new) > REMEMBERED:
+            self.old, self.new = self.new, {}
+
+
+class Encoder:
     """Token ids of a text, as little-endian 32-bit words, by words between ASCII white space.
 
     The tokenizer drops white space and merges nothing across it, so the ids of a
-    text are those of its words in turn; frequent words are encoded once.
+    text are those of its words in turn; frequent words are encoded once. Within
+    a word it parts letters from marks and folds case. A word of Latin letters
+    below U+0250 and marks after them therefore goes straight to the merges, as
+    stem and marks; any other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.old: dict[bytes, bytes] = {}
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        if len(self) > REMEMBERED:
-            self.old = dict(self)
-            self.clear()
-        old = self.old
-        for words in texts:
-            new = set(words).difference(self)
-            fresh = []
-            for w in new:
-                if (ids := old.get(w)) is not None:
-                    self[w] = ids
-                else:
-                    fresh.append(w)
-            for i in range(0, len(fresh), 1000):
-                part = fresh[i : i + 1000]
-                found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-                for w, e in zip(part, found, strict=True):
-                    self[w] = np.array(e.ids, "<u4").tobytes()
+        self.words, self.stems = _Memory(), _Memory()
+        self.letters = dict(enumerate(_byte_letters()))
+
+    def _whole(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _stem(self, stem: bytes) -> bytes | None:
+        """Ids of a run of letters, or None if it is not one that needs no more than folding."""
+        if (ids := self.stems.get(stem)) is not None:
+            return ids
+        text = stem.decode("utf-8", "replace")
+        low = text.lower()
+        if not text.isalpha() or max(text) >= "\u0250" or len(low) != len(text) or not low.isalpha():
+            return None
+        spelled = low.encode().decode("latin-1").translate(self.letters)
+        ids = self.stems.new[stem] = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
+        return ids
+
+    def _encode(self, word: bytes) -> bytes:
+        stem = word.rstrip(_MARKS)
+        if stem and (ids := self._stem(stem.lower())) is not None:
+            marks = word[len(stem) :]
+            return ids + self.word(marks) if marks else ids
+        return self._whole(word)
+
+    def word(self, word: bytes) -> bytes:
+        if (ids := self.words.get(word)) is None:
+            ids = self.words.new[word] = self._whole(word) if not word.strip(_MARKS) else self._encode(word)
+        return ids
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         for t in texts:
             words = t.split()
-            self.learn([words])
-            yield b"".join(map(self.__getitem__, words))
+            known = self.words.new
+            for w in set(words).difference(known):
+                self.word(w)
+            yield b"".join(map(known.__getitem__, words))
+            self.words.rest()
+            self.stems.rest()
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder for a vocabulary; workers serve many tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -74,12 +124,12 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
 
-        encoder = Encoder(path or public_tokenizers.path(VOCABULARY))
+        encode = encoder(path or public_tokenizers.path(VOCABULARY)).encode
         task, made = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end, width = np.array([END], "<u4").tobytes(), 4 * capacity
         for b in batches:
             rows, ids_of = [], b.column(0).to_pylist()
-            for doc, ids in zip(ids_of, encoder.encode(b.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(ids_of, encode(b.column(1).to_pylist()), strict=True):
                 ids += end
                 for k in range(0, len(ids), width):
                     part = ids[k : k + width]
