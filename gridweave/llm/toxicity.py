@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, labels, whole
+from .common import documents, labels, materialize, whole
 from .ordinal import bounded
 
-#: Labelled rows used, at most: half for the lexicon, half for the trees and the calibration.
+#: Labelled rows used, at most.
 SAMPLE = 20_000
 PREDICT = 0.7
 #: Terms of the learned lexicon at most; a term is a word or a stem of 3 to 6 letters.
@@ -180,32 +180,48 @@ def fold(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3
 
 
-def learn_lexicon(rows: DataFrame) -> Lexicon:
-    """Words and stems far more frequent among toxic rows (text, toxic); counted on the executors."""
+def _term_counts(rows: DataFrame) -> DataFrame:
+    """term, t0, n0, t1, n1: toxic rows and all rows of either part that have a word or stem; the empty term counts all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            terms, toxic = [], []
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            terms, toxic, parts = [], [], []
+            for t, y, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = set(_LETTERS.findall(t.lower()))
                 own = words | {f"{w[:k]}*" for w in words for k in STEMS if len(w) > k} | {""}
                 terms += own
                 toxic += [y] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(toxic, pa.int64())], names=["term", "toxic"])
+                parts += [part] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(toxic, pa.int64()), pa.array(parts, pa.int64())], names=["term", "toxic", "part"])
 
-    counts = rows.mapInArrow(run, "term string, toxic long").groupBy("term").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
-    total = counts.where("term = ''").first()
+    found = rows.select("text", "toxic", "part").mapInArrow(run, "term string, toxic long, part long")
+    of = lambda p, c: F.sum(F.when(F.col("part") == p, c).otherwise(0))
+    return found.groupBy("term").agg(of(0, F.col("toxic")).alias("t0"), of(0, F.lit(1)).alias("n0"), of(1, F.col("toxic")).alias("t1"), of(1, F.lit(1)).alias("n1"))
+
+
+def _lexicon(counts: DataFrame, parts: tuple[int, ...]) -> Lexicon:
+    """Words and stems far more frequent among the toxic rows of some parts, and found in each part."""
+    t, n = (sum(F.col(f"{c}{p}") for p in parts) for c in "tn")
+    everywhere = F.least(*(F.col(f"t{p}") for p in parts)) if len(parts) > 1 else t
+    own = counts.select("term", t.alias("t"), n.alias("n"), everywhere.alias("least"))
+    total = own.where("term = ''").first()
     if total is None or not total.t or total.t == total.n:
         return Lexicon(frozenset(), frozenset())
     bad, good = total.t, total.n - total.t
     lift = (F.col("t") / bad) / ((F.col("n") - F.col("t") + 0.5) / good)
-    found = counts.where((F.col("term") != "") & (F.col("t") >= max(SUPPORT, SUPPORT_SHARE * bad)) & (lift >= min(LIFT, 0.5 * good / bad * 2 * SUPPORT)))
+    found = own.where((F.col("term") != "") & (F.col("least") > 0) & (F.col("t") >= max(SUPPORT, SUPPORT_SHARE * bad)) & (lift >= min(LIFT, SUPPORT * good / bad)))
     found = found.withColumn("lift", lift).orderBy(F.desc("t"), F.desc("lift"), "term").limit(TERMS).collect()
     return Lexicon(frozenset(r.term for r in found if r.term[-1] != "*"), frozenset(r.term[:-1] for r in found if r.term[-1] == "*"))
 
 
+def learn_lexicons(rows: DataFrame) -> list[Lexicon]:
+    """From (text, toxic, part): the lexicons of part 0, of part 1 and of both, from one count on the executors."""
+    counts = materialize(_term_counts(rows).where(f"t0 + t1 >= {SUPPORT} or term = ''"))
+    return [_lexicon(counts, parts) for parts in ((0,), (1,), (0, 1))]
+
+
 def _sample(docs: DataFrame, rated: DataFrame, most: int) -> DataFrame:
-    """doc_id, toxic, part (0 lexicon, 1 trees) and text of at most ``most`` labelled rows that are not held out."""
+    """doc_id, toxic, part (0 or 1) and text of at most ``most`` labelled rows that are not held out."""
     rated = rated.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("long").alias("toxic")).where("toxic is not null").where(fold() != 1)
     sample = bounded(rated, most).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(2)))
     src = docs.select(F.col("doc_id").cast("long").alias("d"), whole("text").alias("text"))
@@ -215,20 +231,22 @@ def _sample(docs: DataFrame, rated: DataFrame, most: int) -> DataFrame:
 def train(docs: DataFrame, rated: DataFrame, most: int = SAMPLE) -> Model:
     """Fits on at most ``most`` labelled rows (doc_id, toxic) outside the held-out fold.
 
-    The lexicon comes from one half and the trees from the other, so that terms
-    that are frequent by chance earn no trust; scores for the calibration come
-    from trees that have not seen their rows (five folds).
+    The trees see each half of the rows through the lexicon of the other half, so
+    that terms that are frequent by chance earn no trust; scoring uses the
+    lexicon of both. Scores for the calibration come from trees that have not
+    seen their rows (five folds).
     """
     rows = _sample(docs, rated, most)
-    lexicon = learn_lexicon(rows.where("part = 0").select("text", "toxic"))
+    lexicons = learn_lexicons(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _Codes(lexicon)
+        codes = {0: _Codes(lexicons[1]), 1: _Codes(lexicons[0])}
         for b in batches:
-            x = [text_features(t, codes) for t in b.column(2).to_pylist()]
+            x = [text_features(t, codes[p]) for t, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
 
-    got = rows.where("part = 1").select("doc_id", "toxic", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, toxic long, x array<double>").toArrow().sort_by("doc_id")
+    got = rows.select("doc_id", "toxic", F.col("text").cast("binary").alias("text"), "part").mapInArrow(run, "doc_id long, toxic long, x array<double>").toArrow().sort_by("doc_id")
+    lexicon = lexicons[2]
     x, y = np.array(got.column("x").to_pylist(), float).reshape(-1, len(FEATURES)), got.column("toxic").to_numpy().astype(float)
     if not len(y):
         return Model(lexicon, {"prior": 0.0, "depth": DEPTH, "trees": []}, np.zeros(0), np.zeros(0))
