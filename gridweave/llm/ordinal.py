@@ -84,14 +84,17 @@ class Model:
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, rounds: int = ROUNDS) -> Model:
     """Full-batch Adam on the cumulative-link likelihood; rows: (feature numbers, values) of each text.
 
-    Thresholds are a first one and gaps through an exponential, so they stay ordered.
+    Thresholds are a first one and gaps through an exponential, so they stay
+    ordered. Features are held once, in single precision; rows is emptied.
     """
     size, k = SIZE, int(grades.max(initial=0))
     if k < 1 or len(np.unique(grades)) < 2:
         return Model(np.zeros(size), np.full(max(1, k), -10.0 if grades.min(initial=1) else 10.0))
-    index = np.concatenate([r[0] for r in rows])
-    value = np.concatenate([r[1] for r in rows])
-    doc = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    index = np.concatenate([r[0] for r in rows]).astype(np.int32, copy=False)
+    value = np.concatenate([r[1] for r in rows]).astype(np.float32, copy=False)
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
+    n = len(rows)
+    rows.clear()
     share = np.clip([(grades > j).mean() for j in range(k)], 1e-3, 1 - 1e-3)
     start = -np.log(share / (1 - share))
     gaps = np.log(np.maximum(1e-2, np.diff(start)))
@@ -102,7 +105,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, rounds: i
     row_weight = np.sqrt(balance[grades])
     row_weight /= row_weight.sum()
     for t in range(1, rounds + 1):
-        s = np.bincount(doc, value * p[0][index], len(rows))
+        s = np.bincount(doc, value * p[0].astype(np.float32)[index], n)
         theta = np.cumsum(np.concatenate([p[1], np.exp(p[2])]))
         upper = np.concatenate([theta, [np.inf]])[grades] - s
         lower = np.concatenate([[-np.inf], theta])[grades] - s
@@ -113,7 +116,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, rounds: i
         gu, gl = -row_weight * du / like, row_weight * dl / like
         gt = np.array([gu[grades == j].sum() + gl[grades == j + 1].sum() for j in range(k)])
         tail = np.cumsum(gt[::-1])[::-1]
-        grads = [np.bincount(index, value * gs[doc], size) + DECAY * p[0], tail[:1], tail[1:] * np.exp(p[2])]
+        grads = [np.bincount(index, value * gs.astype(np.float32)[doc], size) + DECAY * p[0], tail[:1], tail[1:] * np.exp(p[2])]
         for i, g in enumerate(grads):
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.99 * v[i] + 0.01 * g * g
@@ -144,8 +147,10 @@ def train(docs: DataFrame, rated: DataFrame, most: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a), b.column(1).slice(a, e - a), pa.array([x.astype("<i4").tobytes() for x in index], pa.binary()), pa.array([x.astype("<f4").tobytes() for x in value], pa.binary())], names=["doc_id", "grade", "at", "value"])
 
     got = joined.mapInArrow(run, "doc_id long, grade int, at binary, value binary").toArrow().sort_by("doc_id")
-    rows = [(np.frombuffer(a, "<i4"), np.frombuffer(v, "<f4").astype(float)) for a, v in zip(got.column("at").to_pylist(), got.column("value").to_pylist(), strict=True)]
-    return fit(rows, got.column("grade").to_numpy().astype(np.int64)) if rows else Model(np.zeros(SIZE), np.array([-10.0]))
+    rows = [(np.frombuffer(a, "<i4"), np.frombuffer(v, "<f4")) for a, v in zip(got.column("at").to_pylist(), got.column("value").to_pylist(), strict=True)]
+    grades = got.column("grade").to_numpy().astype(np.int64)
+    del got
+    return fit(rows, grades) if rows else Model(np.zeros(SIZE), np.array([-10.0]))
 
 
 def graded(rated: DataFrame) -> DataFrame:

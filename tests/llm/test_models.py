@@ -80,7 +80,7 @@ def test_ordinal_fit_orders_grades():
     rng = np.random.default_rng(3)
     grades = rng.integers(0, 4, 400)
     rows = [(np.array([5, 9, 11]), 8 * np.array([g / 3 + 0.15 * rng.normal(), 1 - g / 3 + 0.15 * rng.normal(), 0.5])) for g in grades]
-    m = ordinal.fit(rows, grades, rounds=300)
+    m = ordinal.fit(list(rows), grades, rounds=300)
     assert (np.diff(m.thresholds) > 0).all()
     score = np.array([(m.weights[i] * v).sum() for i, v in rows])
     tails = m.tails(score)
