@@ -15,8 +15,8 @@ from .text import Words, mix, runs, slices
 WINDOW, GRAM = 35, 12
 #: Bits of the sketch of repeated anchors: 8 MB whatever the input.
 SKETCH_BITS = 26
-#: An anchor with more than this share of all anchors, and at least HOT_ROWS, is dealt over SALTS groups.
-HOT_SHARE, HOT_ROWS, SALTS = 1 / 10_000, 2_000, 64
+#: An anchor with more than this share of all anchors, and at least HOT_ROWS, is dealt over groups of about HOT_ROWS rows, SALTS at most.
+HOT_SHARE, HOT_ROWS, SALTS = 1 / 10_000, 2_000, 4096
 #: Rows of one group that a task holds at once.
 PART = 200_000
 
@@ -82,11 +82,11 @@ def _sketch(repeated: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _occurrences(docs: DataFrame, sketch, hot: frozenset, window: int, gram: int, bits: int) -> DataFrame:
+def _occurrences(docs: DataFrame, sketch, window: int, gram: int, bits: int) -> DataFrame:
     """A row for each anchor that may be repeated: where it is, and the hashes of the windows that chose it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, busy = sketch.value
+        seen, busy, salts = sketch.value
         for b in batches:
             ids, rids = b.column(0), b.column(1).to_numpy()
             for a, _, data, offsets in slices(b.column(2)):
@@ -100,7 +100,11 @@ def _occurrences(docs: DataFrame, sketch, hot: frozenset, window: int, gram: int
                 # a window's own anchor never moves left as the window moves right
                 new = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
                 text = np.searchsorted(words.first, own[new], "right") - 1
-                salt = np.where(np.isin(anchor[new].view(np.int64), busy), mix((rids[a + text] + own[new]).view(np.uint64)) % np.uint64(SALTS), 0).astype(np.int32)
+                salt = np.zeros(len(new), np.int32)
+                if len(busy):
+                    at = np.minimum(np.searchsorted(busy, anchor[new].view(np.int64)), len(busy) - 1)
+                    hot = busy[at] == anchor[new].view(np.int64)
+                    salt[hot] = (mix((rids[a + text] + own[new]).view(np.uint64)) % salts[at])[hot]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(anchor[new].view(np.int64)), pa.array(salt), ids.take(pa.array(a + text)), pa.array(rids[a + text]), pa.array((first[new] - words.first[text]).astype(np.int32)), pa.array((own[new] - first[new]).astype(np.int32)), pa.LargeListArray.from_arrays(pa.array(np.append(new, len(own))), pa.array(whole_hash.view(np.int64))).cast(pa.list_(pa.int64()))],
                     names=["anchor", "salt", "doc_id", "rid", "first", "reach", "windows"],
@@ -146,7 +150,7 @@ def _settle(rows: pa.Table, cut: np.ndarray) -> Iterator[pa.RecordBatch]:
 _MATCHED = ["kind", "anchor", "reach", "window", "doc_id", "rid", "first", "mask"]
 
 
-def _matched(rows: DataFrame, busy: frozenset) -> DataFrame:
+def _matched(rows: DataFrame, salted: np.ndarray) -> DataFrame:
     """Extends the seeds of each anchor. Kind 0: an occurrence, and a bit for each of its windows that is repeated.
 
     Rows arrive sorted by anchor and salt. Instead of comparing all pairs of
@@ -155,7 +159,6 @@ def _matched(rows: DataFrame, busy: frozenset) -> DataFrame:
     the windows met once in a part (kind 1), and a marker for each met more often
     (kind 2), go to a second step.
     """
-    salted = np.array(sorted(busy), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.Table] = []
@@ -207,9 +210,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int =
     spark = docs.sparkSession
     counted = materialize(_anchors(docs, window, gram).groupBy("anchor").count().where("count > 1"))
     total = counted.agg(F.sum("count")).first()[0] or 0
-    busy = frozenset(r.anchor for r in counted.where(F.col("count") > max(HOT_ROWS, total * HOT_SHARE)).select("anchor").collect())  # 1 / HOT_SHARE at most
-    on_tasks = spark.sparkContext.broadcast((_sketch(counted, bits), np.array(sorted(busy), np.int64)))
-    found = materialize(_matched(_occurrences(docs, on_tasks, busy, window, gram, bits), busy))
+    hot = counted.where(F.col("count") > max(HOT_ROWS, total * HOT_SHARE)).orderBy("anchor").collect()  # 1 / HOT_SHARE rows at most
+    busy = np.array([r["anchor"] for r in hot], np.int64)
+    salts = np.array([min(SALTS, -(-r["count"] // HOT_ROWS)) for r in hot], np.uint64)
+    on_tasks = spark.sparkContext.broadcast((_sketch(counted, bits), busy, salts))
+    found = materialize(_matched(_occurrences(docs, on_tasks, window, gram, bits), busy))
     cut = found.where("kind > 0").groupBy("anchor", "reach", "window").agg(F.collect_list(F.struct("kind", "doc_id", "rid", "first")).alias("at"))
     second = cut.where("size(at) > 1 or at[0].kind = 2").select(F.explode("at").alias("x")).where("x.kind = 1").select("x.doc_id", "x.rid", "x.first", F.lit(1).cast("long").alias("mask"))
     return found.where("kind = 0").select("doc_id", "rid", "first", "mask").union(second)
