@@ -17,8 +17,9 @@ from .common import documents, materialize, whole
 CAPACITY, END = 4096, 1
 VOCABULARY = "word_bpe_49k.json"
 #: Words, and as many stems, whose ids a worker remembers; twice as many at most, in two generations.
-REMEMBERED = 200_000
-_MARKS = b".,;:!?"
+REMEMBERED = 300_000
+#: ASCII marks: with none of them a letter, they are a token run of their own after a word's letters.
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _byte_letters() -> list[str]:
@@ -28,23 +29,6 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-class _Memory:
-    """A dict that forgets: when it is full, what was not used since it was last full goes."""
-
-    def __init__(self):
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def get(self, key: bytes) -> bytes | None:
-        if (ids := self.new.get(key)) is None and (ids := self.old.get(key)) is not None:
-            self.new[key] = ids
-        return ids
-
-    def rest(self) -> None:
-        if len(self.new) > REMEMBERED:
-            self.old, self.new = self.new, {}
-
-
 class Encoder:
     """Token ids of a text, as little-endian 32-bit words, by words between ASCII white space.
 
@@ -52,52 +36,64 @@ class Encoder:
     text are those of its words in turn; frequent words are encoded once. Within
     a word it parts letters from marks and folds case. A word of Latin letters
     below U+0250 and marks after them therefore goes straight to the merges, as
-    stem and marks; any other word goes through the whole tokenizer.
+    stem and marks; any other word goes through the whole tokenizer. What was
+    not used since a memory was last full is forgotten.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.stems = _Memory(), _Memory()
+        self.words: dict[bytes, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes | None] = {}
+        self.old_stems: dict[bytes, bytes | None] = {}
+        self.marks: dict[bytes, bytes] = {b"": b""}
         self.letters = dict(enumerate(_byte_letters()))
 
     def _whole(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
     def _stem(self, stem: bytes) -> bytes | None:
-        """Ids of a run of letters, or None if it is not one that needs no more than folding."""
-        if (ids := self.stems.get(stem)) is not None:
-            return ids
+        """Ids of a run of letters in lower ASCII case, or None if it is not one that needs no more than folding."""
         text = stem.decode("utf-8", "replace")
         low = text.lower()
         if not text.isalpha() or max(text) >= "\u0250" or len(low) != len(text) or not low.isalpha():
             return None
         spelled = low.encode().decode("latin-1").translate(self.letters)
-        ids = self.stems.new[stem] = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
-        return ids
+        return np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
 
     def _encode(self, word: bytes) -> bytes:
         stem = word.rstrip(_MARKS)
-        if stem and (ids := self._stem(stem.lower())) is not None:
-            marks = word[len(stem) :]
-            return ids + self.word(marks) if marks else ids
-        return self._whole(word)
-
-    def word(self, word: bytes) -> bytes:
-        if (ids := self.words.get(word)) is None:
-            ids = self.words.new[word] = self._whole(word) if not word.strip(_MARKS) else self._encode(word)
-        return ids
+        low = stem.lower()
+        ids = self.stems.get(low, b"")  # no stem has no ids
+        if ids == b"":
+            ids = self.old_stems.get(low, b"")
+        if ids == b"":
+            ids = self._stem(low) if low else None
+        self.stems[low] = ids
+        if ids is None:
+            return self._whole(word)
+        marks = word[len(stem) :]
+        tail = self.marks.get(marks)
+        if tail is None:
+            tail = self.marks[marks] = self._whole(marks)
+        return ids + tail
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         for t in texts:
             words = t.split()
-            known = self.words.new
+            known, old = self.words, self.old_words
             for w in set(words).difference(known):
-                self.word(w)
+                ids = old.get(w)
+                known[w] = self._encode(w) if ids is None else ids
             yield b"".join(map(known.__getitem__, words))
-            self.words.rest()
-            self.stems.rest()
+            if len(known) > REMEMBERED:
+                self.old_words, self.words = known, {}
+            if len(self.stems) > REMEMBERED:
+                self.old_stems, self.stems = self.stems, {}
+            if len(self.marks) > REMEMBERED:
+                self.marks = {b"": b""}
 
 
 _encoders: dict[str, Encoder] = {}

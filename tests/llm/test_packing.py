@@ -9,6 +9,9 @@ from gridweave.llm import packing
 from tests.llm.odd_rows import ROWS, table
 
 
+MARKED = """the&&& of%%% <|endoftext|>! x|> x<| (paren) "q" a-b rock'n' it's' 'tis y' [z] {w}; İstanbul ŉa ǅungla STRASSE ﬁne naïve. ... ?! a1b2 été's l'été ÇA, Ñandu\u0301 e\u0301a ẞ ª º µ Ünder/Über=1 <|endoftext|>a a<|endoftext|> ЖЖ. 漢字, \u200b"""
+
+
 def brute_best_fit(lengths, capacity):
     rooms = []
     for n in sorted(lengths, reverse=True):
