@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,17 +17,30 @@ from .common import documents, whole
 ROUNDS, KEY = 10, b"gridweave-pseudonyms"
 KINDS = ("email", "iban", "date", "ip", "phone", "ssn", "number")
 
-#: Nothing can match before a digit or an @ sign; each alternative starts at a word's edge and is bounded, so a scan is linear.
-_PATTERN = re.compile(
-    r"(?<![\w.%+-])(?P<email>[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})(?![A-Za-z0-9@])"
-    r"|(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,4})?)(?![A-Za-z0-9])"
-    r"|(?<![\d.])(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?!\.?\d)"
-    r"|(?<![\w/-])(?P<date>\d{4}(?P<s1>[-/.])\d{2}(?P=s1)\d{2}|\d{2}(?P<s2>[-/.])\d{2}(?P=s2)\d{4})(?![\w/-])"
-    r"|(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
-    r"|(?<![\w+])(?P<phone>\+\d{1,3}[\x20.-]?\(?\d{2,4}\)?[\x20.-]?\d{3,4}[\x20.-]?\d{3,4}|\(\d{3}\)\x20?\d{3}[\x20.-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)"
-    r"|(?<![A-Za-z0-9.-])(?P<number>\d{13,19}|\d{4}(?P<s3>[\x20-])\d{4}(?P=s3)\d{4}(?P=s3)\d{1,7}|\d{4}(?P<s4>[\x20-])\d{6}(?P=s4)\d{5})(?![A-Za-z0-9-])",
-    re.ASCII,
-)
+#: Each form starts at a word's edge and is bounded, so a scan is linear. Forms look at the class of a character only, which pseudonyms keep.
+_FORMS = {
+    "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9@])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,4})?(?![A-Za-z0-9])",
+    "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",
+    "date": r"(?<![\w/-])(?:\d{4}(?P<s1>[-/.])\d{2}(?P=s1)\d{2}|\d{2}(?P<s2>[-/.])\d{2}(?P=s2)\d{4})(?!(?![Tt]\d)[\w/-])",
+    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[\x20.-]?\(?\d{2,4}\)?[\x20.-]?\d{3,4}[\x20.-]?\d{3,4}|\(\d{3}\)\x20?\d{3}[\x20.-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"
+    # in pairs: after a country code, or ten digits from 01 to 09 that are no part of a longer row of pairs
+    r"|\+\d{1,3}[\x20.-]?(?:\(0\)\x20?)?(?:\d(?P<s5>[\x20.-])\d{2}(?:(?P=s5)\d{2}){3}|\d{2,4}(?P<s6>[\x20.-])\d{2}(?:(?P=s6)\d{2}){2,3}|\d{1,4}(?P<s7>[\x20.-])\d{3}(?:(?P=s7)\d{2}){2})"
+    r"|(?<!\d\d[\x20.-])0[1-9](?P<s8>[\x20.-])\d{2}(?:(?P=s8)\d{2}){3}(?!(?P=s8)\d\d(?![\w@])|-[A-Za-z0-9]{2}(?![\w@])))(?!\d)",
+    "number": r"(?<![A-Za-z0-9.-])(?:\d{13,19}|\d{4}(?P<s3>[\x20-])\d{4}(?P=s3)\d{4}(?P=s3)\d{1,7}|\d{4}(?P<s4>[\x20-])\d{6}(?P=s4)\d{5})(?![A-Za-z0-9-])",
+}
+#: No form but an address is longer, and addresses do not fail.
+MOST = 64
+_FORM = {k: re.compile(p, re.ASCII) for k, p in _FORMS.items()}
+_PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _FORMS.items()), re.ASCII)
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for c in cs.split()}
+_IBAN = {n: re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){%d}%s(?![A-Za-z0-9])" % ((n - 4) // 4, r"\x20?[A-Z0-9]{%d}" % (n % 4) if n % 4 else "")) for n in set(IBAN_LENGTHS.values())}
 _ANY = re.compile(r"[0-9@]")
 
 
@@ -103,8 +117,10 @@ class Pseudonyms:
         return _refill(s, next(body + c for c in "0123456789" if luhn(body + c) == want))
 
     def phone(self, s: str) -> str:
-        """The country code after a plus stays."""
-        head = re.match(r"\+\d{1,3}(?=[\x20.(-])", s)
+        """The country code after a plus stays, and the leading 0 of ten digits in pairs."""
+        if s[0] == "0":
+            return _refill(s, f"{10**8 + self.permuted('phone0', 9 * 10**8, int(re.sub(r'\D', '', s)) - 10**8):010d}")
+        head = re.match(r"\+\d{1,3}(?:[\x20.-]?\(0\)|(?=[\x20.(-]))", s)
         at = head.end() if head else 0
         d = re.sub(r"\D", "", s[at:])
         return s[:at] + _refill(s[at:], self.digits("phone", d))
@@ -193,21 +209,54 @@ class Pseudonyms:
             out.append(c)
         return "".join(reversed(out)) + "@" + domain
 
-    def rewrite(self, text: str) -> tuple[str, list[tuple[int, int, str]]]:
-        """The text with pseudonyms, and (start, end, kind) of each in the original's code points."""
+    def _find(self, text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+        """What is valid, and what has a kind's form but fails its check; the search goes on inside the latter."""
         spans: list[tuple[int, int, str]] = []
-        if not _ANY.search(text):
-            return text, spans
+        failed: list[tuple[int, int, str]] = []
+        at = 0
+        while m := _PATTERN.search(text, at):
+            start, at = m.start(), m.start() + 1
+            for end, kind in _readings(text, m):
+                if getattr(self, kind)(text[start:end]) is not None:
+                    spans.append((start, end, kind))
+                    at = end
+                    break
+                failed.append((start, end, kind))
+        return spans, failed
 
-        def swap(m: re.Match) -> str:
-            kind = next(k for k in KINDS if m[k] is not None)
-            new = getattr(self, kind)(m[0])
-            if new is None:
-                return m[0]
-            spans.append((m.start(), m.end(), kind))
-            return new
+    def rewrite(self, text: str) -> tuple[str, list[tuple[int, int, str]]]:
+        """The text with pseudonyms, and (start, end, kind) of each in the original's code points.
 
-        return _PATTERN.sub(swap, text), spans
+        Pseudonyms are as long as their values. One that would make valid what
+        failed around it is permuted once more, as the text could not be restored.
+        """
+        if not _ANY.search(text):
+            return text, []
+        spans, failed = self._find(text)
+        if not spans:
+            return text, spans
+        out, starts = list(text), [a for a, _, _ in failed]
+        for start, end, kind in reversed(spans) if self.invert else spans:
+            new = "".join(out[start:end])
+            around = [f for f in failed[bisect_left(starts, start - MOST) : bisect_left(starts, end)] if f[1] > start]
+            while True:
+                new = getattr(self, kind)(new)
+                out[start:end] = new
+                if all(getattr(self, k)("".join(out[a:b])) is None for a, b, k in around):
+                    break
+        return "".join(out), spans
+
+
+def _readings(text: str, m: re.Match) -> Iterator[tuple[int, str]]:
+    """(end, kind) of all that may start where m does: an IBAN by its country's length, then what m is, then later kinds."""
+    kinds = list(_FORMS)
+    kind = next(k for k in kinds if m[k] is not None)
+    if kind == "iban" and (form := _IBAN.get(IBAN_LENGTHS.get(m[0][:2], 0))) and (own := form.match(text, m.start())) and own.end() != m.end():
+        yield own.end(), kind
+    yield m.end(), kind
+    for later in kinds[kinds.index(kind) + 1 :]:
+        if other := _FORM[later].match(text, m.start()):
+            yield other.end(), later
 
 
 def _late_days(year: int) -> list[int]:
@@ -221,8 +270,10 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY, invert: bool = False) -> Dat
     Numbers of 13 to 19 digits, IBANs, phone and social security numbers, IPv4
     addresses, dates and mail addresses are checked where their kind has a check,
     and keyed-permuted within their format; equal values stay equal in all
-    documents and different ones different. What fails its check stays as it is.
-    invert restores the original texts. One pass, no shuffle; whole texts.
+    documents and different ones different. What fails its check stays as it is,
+    but what lies in it is looked at on its own. An IBAN ends where its country's
+    length says, else with its longest match. invert restores the original texts.
+    One pass, no shuffle; whole texts.
 
     Null text gives an empty text. Other columns of docs are ignored; each row
     gives a row.
