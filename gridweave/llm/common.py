@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import persisted as materialize
 
-__all__ = ["SPACE", "WORD", "documents", "labels", "materialize", "whole"]
+__all__ = ["SPACE", "WORD", "documents", "drop_rows", "labels", "materialize", "text_key", "whole"]
 
 #: Java regular expressions for white space and words; the same characters as in ``text._WS``.
 SPACE = r"[\x20\x09-\x0D]"
@@ -25,3 +25,28 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def whole(text: str | Column) -> Column:
     """The text, or the empty text where it is null."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+
+
+def text_key(text: str | Column = "text") -> Column:
+    """What tells rows of one doc_id apart: a digest of the text as it is."""
+    return F.sha2(whole(text), 256)
+
+
+def drop_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs, with all its columns, less the rows that go.
+
+    rows has (doc_id, own, stays) for each row of docs in a group of several, own
+    being its text_key. Rows with the same doc_id, null or not, and the same own
+    are equal: they share a verdict, and one of them stays (the least by its
+    other columns). The classes that go are slim, so the anti-join can turn to a
+    broadcast at run time; rows are combined on the map side.
+    """
+    classes = rows.groupBy("doc_id", "own").agg(F.max("stays").alias("__once"), F.count(F.lit(1)).alias("n")).where("not __once or n > 1")
+    classes = materialize(classes.select(F.col("doc_id").alias("__id"), F.col("own").alias("__own"), "__once"))
+    again = classes.where("__once")
+    same = lambda c: docs["doc_id"].eqNullSafe(c["__id"]) & (text_key(docs["text"]) == c["__own"])
+    stay = docs.join(classes, same(classes), "left_anti")
+    if again.isEmpty():
+        return stay
+    one = docs.join(again, same(again)).groupBy("__id", "__own").agg(F.min(F.struct(*(docs[c] for c in docs.columns))).alias("__row"))
+    return stay.unionByName(one.select("__row.*"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, materialize, whole
+from .common import SPACE, documents, drop_rows, materialize, text_key, whole
 
 #: A chunk runs from MIN_CHUNK code points to the next punctuation mark, or to MAX_CHUNK.
 MIN_CHUNK, MAX_CHUNK = 256, 2048
@@ -18,6 +18,27 @@ def _ids(chunk: Column) -> Column:
     return F.struct(F.xxhash64(chunk).alias("a"), F.xxhash64(F.lit(_SECOND), chunk).alias("b"))
 
 
+def _grouped(docs: DataFrame, **columns: Column) -> DataFrame:
+    """Each row's doc_id, n_cp, text_sha256 and columns, and of a group of several n and its best row; see exact_groups."""
+    names, more = list(columns), [c.alias(k) for k, c in columns.items()]
+    base = docs.select(F.col("doc_id"), whole("text").alias("text")).select("doc_id", *more, F.char_length("text").cast("long").alias("n_cp"), F.regexp_replace("text", SPACE + "+", "").alias("norm"))
+    chunked = base.withColumn("chunks", F.regexp_extract_all("norm", F.lit(_CHUNK), F.lit(0)))
+    slim = materialize(chunked.select("doc_id", *names, "n_cp", F.sha2("norm", 256).alias("text_sha256"), F.transform("chunks", _ids).alias("recipe")))
+
+    store = chunked.select(F.explode("chunks").alias("c")).select(_ids(F.col("c")).alias("id"), "c").groupBy("id.a", "id.b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    unverified = [(r.a, r.b) for r in store.where("lo <> hi").select("a", "b").collect()]  # two in 2**64 texts share an identifier by chance
+
+    if unverified:
+        bad = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in unverified))
+        slim = slim.withColumn("digest", F.when(F.arrays_overlap("recipe", bad), F.col("text_sha256")).otherwise(""))
+    else:
+        slim = slim.withColumn("digest", F.lit(""))
+    key = ["digest", "recipe"]
+    groups = slim.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.col("n_cp")).alias("m"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), *names)).alias("best"))
+    groups = groups.where("n > 1").select(*(F.col(k).alias(f"g_{k}") for k in key), "n", "best")
+    return slim.join(groups, [slim[k] == groups[f"g_{k}"] for k in key], "left")
+
+
 def exact_groups(docs: DataFrame) -> DataFrame:
     """Groups of documents whose texts are equal after white space is deleted.
 
@@ -39,35 +60,20 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     with the same doc_id and text count in group_size and are kept or dropped
     together. Other columns of docs are ignored. No rows give no rows.
     """
-    base = docs.select(F.col("doc_id"), whole("text").alias("text")).select("doc_id", F.char_length("text").cast("long").alias("n_cp"), F.regexp_replace("text", SPACE + "+", "").alias("norm"))
-    chunked = base.withColumn("chunks", F.regexp_extract_all("norm", F.lit(_CHUNK), F.lit(0)))
-    slim = materialize(chunked.select("doc_id", "n_cp", F.sha2("norm", 256).alias("text_sha256"), F.transform("chunks", _ids).alias("recipe")))
-
-    store = chunked.select(F.explode("chunks").alias("c")).select(_ids(F.col("c")).alias("id"), "c").groupBy("id.a", "id.b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    unverified = [(r.a, r.b) for r in store.where("lo <> hi").select("a", "b").collect()]  # two in 2**64 texts share an identifier by chance
-
-    if unverified:
-        bad = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in unverified))
-        slim = slim.withColumn("digest", F.when(F.arrays_overlap("recipe", bad), F.col("text_sha256")).otherwise(""))
-    else:
-        slim = slim.withColumn("digest", F.lit(""))
-    key = ["digest", "recipe"]
-    groups = slim.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.col("n_cp")).alias("m"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"))).alias("best"))
-    groups = groups.where("n > 1").select(*(F.col(k).alias(f"g_{k}") for k in key), "n", "best")
-    joined = slim.join(groups, [slim[k] == groups[f"g_{k}"] for k in key], "left")
+    joined = _grouped(docs)
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("best.i"))
     stays = F.col("n").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.i")) & (-F.col("n_cp") == F.col("best.m")))
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), stays.alias("kept"), "text_sha256")
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns.
+    """The rows of docs that stay, with all their columns: exactly one of each group, null doc_ids included.
 
-    The ids that go are few and slim, so the anti-join can turn to a broadcast
-    at run time; rows with a null doc_id always stay.
+    It is the row that exact_groups marks; where that marks several, the one with
+    the least text_key, and one of equal rows.
     """
-    gone = exact_groups(docs).where("not kept").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")
+    joined = _grouped(docs, own=text_key()).where("n is not null")
+    return drop_rows(docs, joined.select("doc_id", "own", (F.col("doc_id").eqNullSafe(F.col("best.i")) & (F.col("own") == F.col("best.own"))).alias("stays")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

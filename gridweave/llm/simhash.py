@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import documents, materialize, whole
+from .common import documents, drop_rows, materialize, text_key, whole
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -40,15 +40,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (signed 64 bits) of every whole text; null text counts as empty."""
+def fingerprints(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """doc_id and fp (signed 64 bits) of every whole text; null text counts as empty. keyed: also own, the row's text_key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t or b"") for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", *b.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    more = [text_key().alias("own")] if keyed else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").cast("binary").alias("text"), *more).mapInArrow(run, "doc_id long, fp long" + ", own string" * keyed)
 
 
 def _masks(bits: list[int], blocks: int, fixed: int) -> list[int]:
@@ -157,18 +158,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows each get a row; other columns of docs are ignored.
     """
     own = materialize(fingerprints(docs))
+    classes = _classes(own)
+    return own.join(classes, own["fp"] == classes["c_fp"]).select("doc_id", "fp", "component_id")
+
+
+def _classes(own: DataFrame) -> DataFrame:
+    """(c_fp, root, component_id) of each distinct fingerprint; root tells components without, or with one, component_id apart."""
     fps = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(links(fps))
     fps = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     ids = fps.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumnRenamed("root", "r")
-    classes = fps.join(ids, fps["root"] == ids["r"]).select(F.col("fp").alias("c_fp"), "component_id")
-    return own.join(classes, own["fp"] == classes["c_fp"]).select("doc_id", "fp", "component_id")
+    return fps.join(ids, fps["root"] == ids["r"]).select(F.col("fp").alias("c_fp"), "root", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is their component's smallest, or null; all columns."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")
+    """One row of each component, with all columns: that with the smallest doc_id (null last), then the least text_key; one of equal rows."""
+    own = materialize(fingerprints(docs, keyed=True))
+    classes = _classes(own)
+    rows = own.join(classes, own["fp"] == classes["c_fp"]).select("doc_id", "own", "root")
+    best = rows.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), "own")).alias("best")).where("n > 1").select(F.col("root").alias("b_root"), "best")
+    rows = rows.join(best, rows["root"] == best["b_root"])
+    return drop_rows(docs, rows.select("doc_id", "own", (F.col("doc_id").eqNullSafe(F.col("best.i")) & (F.col("own") == F.col("best.own"))).alias("stays")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -48,6 +48,31 @@ def test_drop_exact_keeps_columns_and_rows_without_id(spark):
     assert None in [r.doc_id for r in out.collect()]
 
 
+COPIES = [
+    *((None, "a text without an id", "en", "a", None) for _ in range(3)),
+    *((None, " \ta b", "en", x, None) for x in "ab"),
+    (None, "a b\t ", "en", "a", None),
+    *((8, "repeated with its id", "en", "a", None) for _ in range(3)),
+    (20, "one id, two texts: only this copy goes", "en", "a", None),
+    (20, "a text of its own", "en", "a", None),
+    (3, "one id, two texts: only this copy goes", "en", "a", None),
+    (21, None, "en", "a", None),
+    (None, "", "en", "a", None),
+    (22, "x", "en", "a", None),
+]
+
+
+def test_drop_exact_keeps_one_row_of_each_group(spark):
+    out = exact.drop_exact(table(spark, COPIES)).collect()
+    norm = lambda t: WS.sub("", t or "")
+    assert Counter(norm(r.text) for r in out) == Counter({norm(t) for _, t, *_ in COPIES})
+    ids = {norm(r.text): r.doc_id for r in out}
+    assert ids[norm(COPIES[9][1])] == 3 and ids[norm(COPIES[10][1])] == 20 and ids[""] == 21
+    assert len(exact.drop_exact(table(spark)).collect()) == len({norm(t) for _, t, *_ in ROWS})
+    again = exact.drop_exact(table(spark, COPIES[::-1]).repartition(3)).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, out))
+
+
 def brute_targets(sizes, weights=(5, 2, 1), budget=1.5, cap=2):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}

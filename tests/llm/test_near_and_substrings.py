@@ -59,6 +59,15 @@ def test_near_on_table(spark, sf_dir):
     check_near(simhash.near_duplicates(docs).collect(), [(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_keep_first_keeps_one_row_of_each_component(spark):
+    other, long = "quite different words stand here one after the other", "the first of some words that are met more than once"
+    rows = [(i, t, "en", s, None) for i, t, s in [(None, other, "a"), (None, other, "b"), (None, other.upper(), "a"), (5, long, "a"), (5, long, "a"), (6, long.upper(), "a"), (6, "but these have the same id and are on their own", "a"), (None, long, "a")]]
+    out = simhash.keep_first(table(spark, rows))
+    fps = [brute_fingerprint(r.text) for r in out.collect()]
+    assert sorted(fps) == sorted({brute_fingerprint(t) for _, t, *_ in rows}) and len(fps) == 3
+    assert Counter(r.doc_id for r in out.collect()) == Counter([None, 5, 6])
+
+
 def test_near_empty(spark):
     assert simhash.near_duplicates(table(spark, [])).collect() == []
 
