@@ -10,16 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, labels, whole
-from .ordinal import bounded
+from .common import documents, labels, materialize, whole
 from .text import Words, mix, runs, slices
 
 #: Byte n-grams are counted in 2**BITS buckets.
 GRAM, BITS = 4, 16
 #: N-grams that the raw corpus adds to the target's counts, so that an unseen bucket shrinks to a ratio of 1.
 PRIOR = 200_000.0
-#: Labelled rows that the trusted target and the threshold are fitted on, at most.
-SAMPLE = 20_000
+#: Labels have 10 bytes a row; more than this many are joined by a shuffle.
+BROADCAST_LABELS = 2_000_000
+#: Scores are counted in buckets of this width for the threshold.
+WIDTH = 1 / 4096
 MIN_WORDS, MAX_REPEATED, RUN = 10, 20, 5
 
 _GRAMS = np.random.default_rng(88).integers(0, 2**63, (GRAM, 256), dtype=np.uint64)
@@ -145,18 +146,44 @@ def _corpus_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, rated: DataFrame, most: int = SAMPLE) -> Target:
-    """The raw multinomial counts all of docs; the target those of at most ``most`` rated rows (doc_id, quality) of quality 1.
+def _score_counts(rows: DataFrame, target: Target) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Buckets' middles and counts of the scores of (text, good) rows: those of quality 0, then the trusted."""
+    on_tasks = rows.sparkSession.sparkContext.broadcast(target)
 
-    One half of the sample gives the target, the other, unseen by it, the
-    threshold: half way between what nearly all trusted texts exceed and what
-    nearly all texts of quality 0 fall short of, if these are apart, else at the
-    first. Without trusted rows every document is kept.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a, e, data, offsets in slices(b.column(0)):
+                at = np.floor(on_tasks.value.score(data, offsets) / WIDTH).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(a, e - a), pa.array(at)], names=["good", "at"])
+
+    found = rows.select(whole("text").alias("text"), "good").mapInArrow(run, "good boolean, at long").groupBy("good", "at").agg(F.count(F.lit(1)).alias("n")).orderBy("at").collect()
+    sides = [[r for r in found if r.good == good] for good in (False, True)]
+    return [np.array([(r["at"] + 0.5) * WIDTH for r in side]) for side in sides], [np.array([r.n for r in side], np.int64) for side in sides]
+
+
+def _quantile(values: np.ndarray, counts: np.ndarray, q: float) -> float:
+    """np.quantile of ascending values, each as often as it counts."""
+    upto = np.cumsum(counts)
+    at = q * (upto[-1] - 1)
+    lo, hi = (values[np.searchsorted(upto, i, "right")] for i in (np.floor(at), np.ceil(at)))
+    return float(lo + (hi - lo) * (at - np.floor(at)))
+
+
+def train(docs: DataFrame, rated: DataFrame) -> Target:
+    """The raw multinomial counts all of docs, the target and the threshold all rated rows (doc_id, quality).
+
+    One half of the rated rows, those of quality 1, gives the target, the other,
+    unseen by it, the threshold: half way between what nearly all trusted texts
+    exceed and what nearly all texts of quality 0 fall short of, if these are
+    apart, else at the first. Only counts by bucket, of n-grams and of scores,
+    come to the driver. Without trusted rows every document is kept.
     """
-    sample = bounded(rated.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") > 0).alias("good")).where("good is not null"), most)
+    sample = rated.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") > 0).alias("good")).where("good is not null and doc_id is not null")
     src = docs.select(F.col("doc_id").cast("long").alias("d"), "text")
     sample = sample.withColumn("fits", F.pmod(F.xxhash64(F.lit("target"), "doc_id"), F.lit(2)) == 0)
-    own = src.join(F.broadcast(sample), src["d"] == sample["doc_id"]).select("text", "good", "fits")  # at most SAMPLE rows of 10 bytes
+    few = sample.count() <= BROADCAST_LABELS
+    own = src.join(F.broadcast(sample) if few else sample, src["d"] == sample["doc_id"]).select("text", "good", "fits")
+    own = own if few else materialize(own)  # the shuffle is of whole texts
     good = _corpus_counts(own.where("good and fits"))
     if not good.sum():
         return Target(np.zeros(1 << BITS), -np.inf)
@@ -164,21 +191,15 @@ def train(docs: DataFrame, rated: DataFrame, most: int = SAMPLE) -> Target:
     share = np.maximum(raw, 0.5) / max(raw.sum(), 1.0)
     target = Target(np.log((good + PRIOR * share) / (good.sum() + PRIOR) / share), -np.inf)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for a, e, data, offsets in slices(b.column(0)):
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(a, e - a), pa.array(target.score(data, offsets))], names=["good", "score"])
-
-    got = own.where("not fits").select(whole("text").alias("text"), "good").mapInArrow(run, "good boolean, score double").toArrow()
-    good_row, score = np.array(got.column(0).to_pylist(), bool), got.column(1).to_numpy()
-    if not good_row.any():
+    (bad_at, good_at), (bad_n, good_n) = _score_counts(own.where("not fits"), target)
+    if not len(good_n):
         return target
-    low = float(np.quantile(score[good_row], 0.002))
-    if (~good_row).any():
-        high = float(np.quantile(score[~good_row], 0.95))
+    low = _quantile(good_at, good_n, 0.002)
+    if len(bad_n):
+        high = _quantile(bad_at, bad_n, 0.95)
         target.threshold = (low + high) / 2 if high < low else low
     else:
-        target.threshold = low - (float(np.median(score[good_row])) - low)
+        target.threshold = low - (_quantile(good_at, good_n, 0.5) - low)
     return target
 
 

@@ -60,6 +60,35 @@ def test_rules_on_held_out_labels(spark):
     assert np.mean([not k for q, k in seen if not q]) > 0.9
 
 
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_rules_count_all_labelled_rows(spark, monkeypatch, most):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from gridweave.llm import text
+
+    monkeypatch.setattr(rules, "BROADCAST_LABELS", most, raising=False)
+    ids = spark.range(24_000).withColumnRenamed("id", "doc_id")
+    docs = ids.select("doc_id", F.concat(F.md5(F.col("doc_id").cast("string")), F.when(F.col("doc_id") % 3 > 0, " trusted words").otherwise(" others")).alias("text"))
+    rated = ids.withColumn("quality", (F.col("doc_id") % 3 > 0).cast("int"))
+    rows = docs.withColumn("fits", F.pmod(F.xxhash64(F.lit("target"), "doc_id"), F.lit(2)) == 0).collect()
+
+    def columns(texts):
+        (_, _, data, offsets), = text.slices(pa.array(texts))
+        return data, offsets
+
+    good = rules.gram_counts(*columns([r.text for r in rows if r.fits and r.doc_id % 3]))
+    raw = rules.gram_counts(*columns([r.text for r in rows]))
+    share = np.maximum(raw, 0.5) / raw.sum()
+    want = rules.Target(np.log((good + rules.PRIOR * share) / (good.sum() + rules.PRIOR) / share), 0.0)
+    got = rules.train(docs, rated)
+    assert np.allclose(got.ratio, want.ratio)
+    scores = want.score(*columns([r.text for r in rows if not r.fits]))
+    trusted = np.array([r.doc_id % 3 > 0 for r in rows if not r.fits])
+    low, high = np.quantile(scores[trusted], 0.002), np.quantile(scores[~trusted], 0.95)
+    assert got.threshold == pytest.approx((low + high) / 2 if high < low else low, abs=1 / 4096)
+
+
 def test_scores_do_not_depend_on_slices(spark):
     import pyarrow as pa
 
