@@ -15,6 +15,8 @@ KINDS = ("assign", "access", "hex", "markov")
 
 #: Candidates of the Markov models: runs of token characters. LLR: nats per transition that a random string must win by.
 CANDIDATE, LLR = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+", 0.35
+#: Parts of a run between its separators, which are scored where the run as a whole is not taken.
+PART = r"(?<![A-Za-z0-9+])[A-Za-z0-9+]{20,}+"
 #: Printable ASCII, 95 characters, and one state for the start of a string.
 STATES, SMOOTHING = 96, 0.5
 
@@ -106,7 +108,8 @@ def scan(docs: DataFrame, table: list[float] | None = None, threshold: float = L
     kind is a place in KINDS. Base spans come from the patterns; the Markov
     models add candidates with lower case letters or upper case letters and with
     digits whose mean log-likelihood ratio exceeds threshold, unless they touch a
-    base span. table: transition ratios from train(), else of labelled_samples().
+    base span. Of runs that are not added, the parts between / = - and _ are
+    scored in the same way on their own. table: transition ratios from train(), else of labelled_samples().
 
     One pass, no shuffle. Null text counts as empty and has no span; other
     columns are ignored; each row gives a row.
@@ -114,17 +117,19 @@ def scan(docs: DataFrame, table: list[float] | None = None, threshold: float = L
     table = train(labelled_samples(docs.sparkSession)) if table is None else table
     text = F.col("text")
     d = docs.select(F.col("doc_id"), whole("text").alias("text"))
-    d = d.select("doc_id", _located(text, ASSIGN, 1, F.contains(text, F.lit(":")) | F.contains(text, F.lit("="))).alias("assign"), _located(text, ACCESS, 0, F.contains(text, F.lit("AKIA"))).alias("access"), _located(text, HEX, 0).alias("hex"), _located(text, CANDIDATE, 0).alias("markov"))
+    d = d.select("doc_id", _located(text, ASSIGN, 1, F.contains(text, F.lit(":")) | F.contains(text, F.lit("="))).alias("assign"), _located(text, ACCESS, 0, F.contains(text, F.lit("AKIA"))).alias("access"), _located(text, HEX, 0).alias("hex"), _located(text, CANDIDATE, 0).alias("markov"), _located(text, PART, 0).alias("parts"))
 
     def tagged(kind: int, spans: Column) -> Column:
         return F.transform(spans, lambda x: F.struct(x.start.alias("start"), F.lit(kind).alias("kind"), x.end.alias("end")))
 
     base = F.concat(tagged(0, F.filter("assign", lambda x: x.end - x.start >= MIN_ASSIGN)), tagged(1, F.col("access")), tagged(2, F.col("hex")))
-    d = d.select("doc_id", "markov", F.array_sort(base).alias("base"))
+    d = d.select("doc_id", "markov", "parts", F.array_sort(base).alias("base"))
     looks = lambda x: x.hit.rlike("[0-9]") & x.hit.rlike("[A-Za-z]") & (log_ratio(x.hit, table) > threshold)
-    clear = lambda x: ~F.exists("base", lambda b: (b.start < x.end) & (x.start < b.end))
-    found = F.filter("markov", lambda x: clear(x) & looks(x))
-    extra = F.when(F.size("markov") > 0, tagged(3, found)).otherwise(F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))
+    clear = lambda x, of: ~F.exists(of, lambda b: (b.start < x.end) & (x.start < b.end))
+    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
+    add = lambda of, rest: F.when(F.size(of) > 0, tagged(3, F.filter(of, lambda x: rest(x) & looks(x)))).otherwise(none)
+    d = d.select("doc_id", "base", "parts", add("markov", lambda x: clear(x, "base")).alias("found"))
+    extra = F.concat("found", add("parts", lambda x: clear(x, "base") & clear(x, "found")))
     return d.select("doc_id", "base", F.array_sort(F.concat("base", extra)).alias("spans"))
 
 
