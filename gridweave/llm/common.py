@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import persisted as materialize
 
-__all__ = ["SPACE", "WORD", "documents", "drop_rows", "labels", "materialize", "text_key", "whole"]
+__all__ = ["SPACE", "WORD", "documents", "drop_rows", "fresh", "labels", "materialize", "numbered", "restored", "text_key", "whole"]
 
 #: Java regular expressions for white space and words; the same characters as in ``text._WS``.
 SPACE = r"[\x20\x09-\x0D]"
@@ -32,6 +32,30 @@ def text_key(text: str | Column = "text") -> Column:
     return F.sha2(whole(text), 256)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns named c0, c1, ..., and the new name of each column.
+
+    Whatever a caller's columns are called (dots, reserved words, an operator's own
+    names), they then clash with nothing; restored() gives the names back.
+    """
+    return docs.toDF(*(f"c{k}" for k in range(len(docs.columns)))), {name: f"c{k}" for k, name in enumerate(docs.columns)}
+
+
+def restored(names: dict[str, str]) -> list[Column]:
+    return [F.col(new).alias(old) for old, new in names.items()]
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each behind as many further underscores as make it none of docs' columns."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def drop_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """docs, with all its columns, less the rows that go.
 
@@ -41,12 +65,13 @@ def drop_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     other columns). The classes that go are slim, so the anti-join can turn to a
     broadcast at run time; rows are combined on the map side.
     """
-    classes = rows.groupBy("doc_id", "own").agg(F.max("stays").alias("__once"), F.count(F.lit(1)).alias("n")).where("not __once or n > 1")
-    classes = materialize(classes.select(F.col("doc_id").alias("__id"), F.col("own").alias("__own"), "__once"))
-    again = classes.where("__once")
-    same = lambda c: docs["doc_id"].eqNullSafe(c["__id"]) & (text_key(docs["text"]) == c["__own"])
-    stay = docs.join(classes, same(classes), "left_anti")
-    if again.isEmpty():
-        return stay
-    one = docs.join(again, same(again)).groupBy("__id", "__own").agg(F.min(F.struct(*(docs[c] for c in docs.columns))).alias("__row"))
-    return stay.unionByName(one.select("__row.*"))
+    classes = rows.groupBy("doc_id", "own").agg(F.max("stays").alias("once"), F.count(F.lit(1)).alias("n")).where("not once or n > 1")
+    classes = materialize(classes.select(F.col("doc_id").alias("k_id"), F.col("own").alias("k_own"), "once"))
+    again = classes.where("once")
+    d, names = numbered(docs)
+    same = F.col(names["doc_id"]).eqNullSafe(F.col("k_id")) & (text_key(names["text"]) == F.col("k_own"))
+    stay = d.join(classes, same, "left_anti")
+    if not again.isEmpty():
+        one = d.join(again, same).groupBy("k_id", "k_own").agg(F.min(F.struct(*names.values())).alias("row"))
+        stay = stay.unionByName(one.select("row.*"))
+    return stay.select(*restored(names))

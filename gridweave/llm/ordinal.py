@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from .common import documents, labels, whole
+from .common import documents, fresh, labels, numbered, restored, whole
 from .text import Words, slices
 
 WORD_BITS, GRAM_BITS, FORM_BITS = 15, 14, 10
@@ -23,6 +24,8 @@ SAMPLE = 4000
 ROUNDS, RATE, DECAY = 120, 0.08, 1e-3
 #: A document is selected if its grade is at least GRADE with this probability.
 GRADE, TAIL = 1, 0.5
+#: Rows that a task scores and hands back at once.
+OUT_ROWS = 1000
 
 _GRAM = np.random.default_rng(33).integers(0, 2**32, (3, 256), dtype=np.uint64)
 
@@ -159,36 +162,43 @@ def graded(rated: DataFrame) -> DataFrame:
 
 
 def assess(docs: DataFrame, model: Model, keep: bool = False, grade: int = GRADE, tail: float = TAIL) -> DataFrame:
-    """docs with __expected (grade), __tail (P of at least grade) and __kept; with keep, only the rows kept.
-
-    One pass, no shuffle, whole texts. A text without a word, null or empty, has
-    expected grade and tail 0 and is not kept. Ties at the threshold are kept.
-    All columns of docs are handed on; each row is judged alone.
+    """docs with __expected (grade), __tail (P of at least grade) and __kept; with keep, the rows kept with docs' columns only.
+
+    One pass, no shuffle, whole texts; a text goes once through Arrow, and
+    results leave in parts of OUT_ROWS rows. A text without a word, null or empty,
+    has expected grade and tail 0 and is not kept. Ties at the threshold are kept.
+    All columns of docs are handed on, whatever their names; where docs has a
+    column of the name, a new one gets further underscores in front. Each row is
+    judged alone.
     """
     spark = docs.sparkSession
     on_tasks = spark.sparkContext.broadcast(model)
-    width = len(docs.columns)
-    schema = docs.select(*(F.col(f"`{c}`") for c in docs.columns)).schema.add("__expected", "double").add("__tail", "double").add("__kept", "boolean")
+    d, columns = numbered(docs)
+    at = list(columns).index("text")
+    more = [] if keep else ["expected", "tail", "kept"]
+    schema = StructType([*d.schema.fields, *(StructField(c, t) for c, t in zip(more, (DoubleType(), DoubleType(), BooleanType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = on_tasks.value
         for b in batches:
-            expected, reach = np.zeros(b.num_rows), np.zeros(b.num_rows)
-            for a, e, data, offsets in slices(b.column(width)):
-                score, n_words = model.score(data, offsets)
-                tails = model.tails(score)
-                expected[a:e] = np.where(n_words > 0, tails.sum(1), 0)
-                reach[a:e] = np.where(n_words > 0, tails[:, min(grade, tails.shape[1]) - 1], 0)
-            out = pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(expected), pa.array(reach), pa.array(reach >= tail)], names=[*names, "__expected", "__tail", "__kept"])
-            yield out.filter(out.column(width + 2)) if keep else out
+            for lo in range(0, b.num_rows, OUT_ROWS):
+                part = b.slice(lo, OUT_ROWS)
+                expected, reach = np.zeros(part.num_rows), np.zeros(part.num_rows)
+                for a, e, data, offsets in slices(part.column(at)):
+                    score, n_words = model.score(data, offsets)
+                    tails = model.tails(score)
+                    expected[a:e] = np.where(n_words > 0, tails.sum(1), 0)
+                    reach[a:e] = np.where(n_words > 0, tails[:, min(grade, tails.shape[1]) - 1], 0)
+                kept = pa.array(reach >= tail)
+                yield part.filter(kept) if keep else pa.RecordBatch.from_arrays([*part.columns, pa.array(expected), pa.array(reach), kept], names=[*part.schema.names, *more])
 
-    names = docs.columns
-    return docs.select("*", whole("text").alias("__text")).mapInArrow(run, schema)
+    out = d.mapInArrow(run, schema)
+    return out.select(*restored(columns), *(F.col(c).alias(n) for c, n in zip(more, fresh(docs, *(f"__{c}" for c in more)), strict=True)))
 
 
 def select_good(docs: DataFrame, rated: DataFrame) -> DataFrame:
     """The rows of docs that the classifier fitted on rated keeps, with their columns."""
-    return assess(docs, train(docs, graded(rated)), keep=True).select(*docs.columns)
+    return assess(docs, train(docs, graded(rated)), keep=True)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -16,8 +16,10 @@ from .common import documents, materialize, whole
 
 CAPACITY, END = 4096, 1
 VOCABULARY = "word_bpe_49k.json"
-#: Words, and as many stems, whose ids a worker remembers; twice as many at most, in two generations.
-REMEMBERED = 300_000
+#: Bytes that a worker's memory of words, and its memory of stems, may take (twice as many at most, in two generations), and those of an entry besides its contents.
+REMEMBERED, ENTRY = 20_000_000, 170
+#: Rows that a task tokenizes and hands back at once.
+OUT_ROWS = 500
 #: ASCII marks: with none of them a letter, they are a token run of their own after a word's letters.
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -49,6 +51,7 @@ class Encoder:
         self.stems: dict[bytes, bytes | None] = {}
         self.old_stems: dict[bytes, bytes | None] = {}
         self.marks: dict[bytes, bytes] = {b"": b""}
+        self.word_bytes = self.stem_bytes = self.mark_bytes = 0
         self.letters = dict(enumerate(_byte_letters()))
 
     def _whole(self, word: bytes) -> bytes:
@@ -71,13 +74,16 @@ class Encoder:
             ids = self.old_stems.get(low, b"")
         if ids == b"":
             ids = self._stem(low) if low else None
-        self.stems[low] = ids
+        if low not in self.stems:
+            self.stems[low] = ids
+            self.stem_bytes += ENTRY + len(low) + len(ids or b"")
         if ids is None:
             return self._whole(word)
         marks = word[len(stem) :]
         tail = self.marks.get(marks)
         if tail is None:
             tail = self.marks[marks] = self._whole(marks)
+            self.mark_bytes += ENTRY + len(marks) + len(tail)
         return ids + tail
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
@@ -86,14 +92,17 @@ class Encoder:
             known, old = self.words, self.old_words
             for w in set(words).difference(known):
                 ids = old.get(w)
-                known[w] = self._encode(w) if ids is None else ids
+                if ids is None:
+                    ids = self._encode(w)
+                known[w] = ids
+                self.word_bytes += ENTRY + len(w) + len(ids)
             yield b"".join(map(known.__getitem__, words))
-            if len(known) > REMEMBERED:
-                self.old_words, self.words = known, {}
-            if len(self.stems) > REMEMBERED:
-                self.old_stems, self.stems = self.stems, {}
-            if len(self.marks) > REMEMBERED:
-                self.marks = {b"": b""}
+            if self.word_bytes > REMEMBERED:
+                self.old_words, self.words, self.word_bytes = known, {}, 0
+            if self.stem_bytes > REMEMBERED:
+                self.old_stems, self.stems, self.stem_bytes = self.stems, {}, 0
+            if self.mark_bytes > REMEMBERED:
+                self.marks, self.mark_bytes = {b"": b""}, 0
 
 
 _encoders: dict[str, Encoder] = {}
@@ -123,7 +132,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
         encode = encoder(path or public_tokenizers.path(VOCABULARY)).encode
         task, made = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end, width = np.array([END], "<u4").tobytes(), 4 * capacity
-        for b in batches:
+        for b in (part.slice(lo, OUT_ROWS) for part in batches for lo in range(0, part.num_rows, OUT_ROWS)):
             rows, ids_of = [], b.column(0).to_pylist()
             for doc, ids in zip(ids_of, encode(b.column(1).to_pylist()), strict=True):
                 ids += end
@@ -132,7 +141,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
                     n = len(part) // 4
                     rows.append((doc, k // width, k // 4, n, zlib.crc32(part), task, made[n]))
                     made[n] += 1
-            columns = list(zip(*rows, strict=True)) or [()] * 7
+            columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "place"])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long"

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-SLICE = 2_000_000
+SLICE = 500_000
 LONG_WORD = 512
 
 _WS = np.zeros(256, bool)

@@ -145,11 +145,11 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     Each pool counts half an unlike label besides its own, so that no value is 0 or 1.
     """
-    order = np.lexsort((y, score))
+    at, of = np.unique(score, return_inverse=True)
     pools: list[list[float]] = []  # value's sum, weight, first and last score
-    for s, v in zip(score[order], y[order], strict=True):
-        pools.append([float(v), 1.0, s, s])
-        while len(pools) > 1 and (pools[-2][3] == pools[-1][2] or pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]):
+    for s, v, n in zip(at, np.bincount(of, y, len(at)), np.bincount(of, minlength=len(at)), strict=True):  # equal scores are one
+        pools.append([float(v), float(n), s, s])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
             a = pools.pop()
             pools[-1] = [pools[-1][0] + a[0], pools[-1][1] + a[1], pools[-1][2], a[3]]
     mean = float(np.clip(y.mean() if len(y) else 0.5, 0.02, 0.98))

@@ -17,7 +17,7 @@ ROWS = [
     (10, "x", "en", "c", 1),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHING = ["key", "size", "fp", "rid", "anchor", "norm", "recipe", "base", "target", "taken", "first", "kept", "score", "n", "node", "root", "label", "hex", "spans", "words"]
+CLASHING = ["key", "size", "fp", "rid", "anchor", "norm", "recipe", "base", "target", "taken", "first", "kept", "score", "n", "node", "root", "label", "hex", "spans", "words", "__text", "__kept", "__size", "__taken", "__id", "__own", "__place", "c0", "c1", "k_id", "row", "a.b", "with space"]
 
 
 def table(spark, rows=ROWS, extra=True):

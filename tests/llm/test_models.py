@@ -62,11 +62,8 @@ def test_rules_on_held_out_labels(spark):
 
 @pytest.mark.parametrize("most", [2_000_000, 0])
 def test_rules_count_all_labelled_rows(spark, monkeypatch, most):
-    import pyarrow as pa
     from pyspark.sql import functions as F
 
-    from gridweave.llm import text
-
     monkeypatch.setattr(rules, "BROADCAST_LABELS", most, raising=False)
     ids = spark.range(24_000).withColumnRenamed("id", "doc_id")
     docs = ids.select("doc_id", F.concat(F.md5(F.col("doc_id").cast("string")), F.when(F.col("doc_id") % 3 > 0, " trusted words").otherwise(" others")).alias("text"))
@@ -74,8 +71,8 @@ def test_rules_count_all_labelled_rows(spark, monkeypatch, most):
     rows = docs.withColumn("fits", F.pmod(F.xxhash64(F.lit("target"), "doc_id"), F.lit(2)) == 0).collect()
 
     def columns(texts):
-        (_, _, data, offsets), = text.slices(pa.array(texts))
-        return data, offsets
+        raw = [t.encode() for t in texts]
+        return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
 
     good = rules.gram_counts(*columns([r.text for r in rows if r.fits and r.doc_id % 3]))
     raw = rules.gram_counts(*columns([r.text for r in rows]))
@@ -134,7 +131,7 @@ def test_ordinal_odd_rows(spark):
     assert out.columns[: len(docs.columns)] == docs.columns
     rows = out.collect()
     assert len(rows) == len(ROWS)
-    assert all(not r["__kept"] and r["__tail"] == 0 for r in rows if not WORDS.search(r.text or ""))
+    assert all(not r["___kept"] and r["__tail"] == 0 for r in rows if not WORDS.search(r.text or ""))
     assert ordinal.assess(table(spark, []), model).collect() == []
     kept = ordinal.select_good(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert kept.columns == docs.columns
@@ -188,3 +185,110 @@ def test_disguised_insults():
     assert lex.codes("zorkable") & 4
     assert lex.codes("You") == 8
     assert lex.codes("table") == 0
+
+
+def plain_features(t, lex):
+    """FEATURES of a text, word by word."""
+    words = [w for w in re.split(r"[ \t-\r]+", t) if w]
+    if not words:
+        return [0.0] * len(toxicity.FEATURES)
+    n, size = len(words), len(t.encode())
+    insult, learned, stems, you, disguised = [], [], [], [], []
+    for i, w in enumerate(words):
+        parts = re.findall(r"[^\W\d_]+", w.lower())
+        hit = any(p in toxicity.INSULTS for p in parts)
+        own = any(p in lex.words for p in parts)
+        insult += [i] * hit
+        learned += [i] * own
+        stems += [i] * any(p[:k] in lex.stems for p in parts for k in (3, 4, 5, 6))
+        you += [i] * any(p in toxicity.SECOND_PERSON for p in parts)
+        if not hit and not own:
+            low = w.lower().strip(".,;:!?\"'()")
+            for a, b in zip("013457@$!|*", "oieastasiil"):
+                low = low.replace(a, b)
+            plain = "".join(re.findall(r"[^\W\d_]+", low))
+            if plain != w.lower() and plain in toxicity.INSULTS | lex.words and not w.lower().isalpha():
+                disguised.append(i)
+    bad = sorted({*insult, *learned, *stems, *disguised})
+    near = sum(any(abs(i - j) <= toxicity.NEAR for j in you) for i in bad) if you else 0
+    count = lambda chars: 100 * sum(c in chars for c in t) / size
+    capitals = count("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    return [len(insult), 100 * len(insult) / n, len(learned), 100 * len(learned) / n, len(stems), 100 * len(stems) / n, near, 100 * len(you) / n, len(disguised), capitals, count("!"), count("#*$%&|<>@^~"), count("0123456789"), np.log1p(n)]
+
+
+def test_toxicity_features_against_a_plain_version():
+    lex = toxicity.Lexicon(frozenset({"blargh", "snork"}), frozenset({"zork", "qua"}))
+    texts = ["", "   ", "You IDIOT! you are a bl4rgh, m0r0n!!", "quant zorkable table 12 #*$ tu es stupid", "stupid " + "a " * 9 + "you", "é ü snork-you snork_x ~^|", "x" * 500, LONG_TEXT]
+    codes = toxicity._Codes(lex)
+    for t in texts:
+        assert toxicity.text_features(t.encode(), codes) == pytest.approx(plain_features(t, lex)), t
+
+
+LONG_TEXT = " ".join(("you", "idiot", "some", "plain", "words", "Blargh.", "7", "here")[(i * i + i // 7) % 8] for i in range(3000))
+
+
+def test_trees_against_a_search_of_all_splits():
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 6, (120, 3)).astype(float)
+    y = ((x[:, 1] > 2) ^ (rng.random(120) < 0.1)).astype(float)
+    model = toxicity.grow(x, y, trees=1, depth=1, rate=1.0)
+    p = np.full(120, 1 / (1 + np.exp(-model["prior"])))
+    g, h = y - p, p * (1 - p)
+
+    def gain(f, c):
+        left = x[:, f] <= c
+        parts = [(g[m].sum(), h[m].sum()) for m in (left, ~left)]
+        return sum(a * a / (b + 1) for a, b in parts) - g.sum() ** 2 / (h.sum() + 1)
+
+    best = max(((f, c) for f in range(3) for c in range(5)), key=lambda s: gain(*s))
+    feature, cut, value = model["trees"][0]
+    assert (feature[0], cut[0]) == best
+    left = x[:, feature[0]] <= cut[0]
+    assert value == pytest.approx([g[m].sum() / (h[m].sum() + 1) for m in (left, ~left)])
+    assert toxicity.margins(model, x) == pytest.approx(model["prior"] + np.where(left, *value))
+
+
+def test_isotonic_against_least_squares_by_means():
+    rng = np.random.default_rng(9)
+    s, y = np.round(rng.normal(size=60), 1), rng.integers(0, 2, 60).astype(float)
+    xs, vs = toxicity.isotonic(s, y)
+    at = np.unique(s)
+    n = np.array([(s == a).sum() for a in at])
+    m = np.array([y[s == a].mean() for a in at])
+    mean = lambda a, b: np.average(m[a : b + 1], weights=n[a : b + 1])
+    want = [max(min(mean(a, b) for b in range(i, len(at))) for a in range(i + 1)) for i in range(len(at))]
+    size = np.array([n[np.isclose(want, w)].sum() for w in want])
+    smooth = (np.array(want) * size + 0.5 * y.mean()) / (size + 0.5)  # half an unlike label for each pool
+    assert np.interp(at, xs, vs) == pytest.approx(np.maximum.accumulate(smooth))
+
+
+def test_quality_ratio_against_a_plain_version(spark):
+    target = rules.Target(np.random.default_rng(1).normal(size=1 << rules.BITS), 0.05)
+    texts = [r[1] for r in ROWS] + ["abc", "abcd", "a longer text with ten words or more in it, so kept or not"]
+    got = rules.judge(table(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), target).collect()
+    for r in got:
+        data = np.frombuffer((texts[r.doc_id] or "").encode(), np.uint8)
+        grams = [int(rules.buckets(data[k : k + 4])[0]) for k in range(len(data) - 3)] if len(data) < 3000 else None
+        if grams is not None:
+            want = np.mean([target.ratio[b] for b in grams]) if grams else 0.0
+            assert r.score == pytest.approx(want)
+            assert r.kept == (not r.base_failed and want >= 0.05)
+
+
+def test_ordinal_score_and_verdict_against_a_plain_version(spark):
+    import pyarrow as pa
+
+    from gridweave.llm import text
+
+    model = ordinal.Model(np.random.default_rng(2).normal(size=ordinal.SIZE), np.array([-0.2, 0.4]))
+    texts = [r[1] for r in ROWS]
+    got = ordinal.assess(table(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]), model).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        t = texts[r.doc_id] or ""
+        (_, _, data, offsets), = text.slices(pa.array([t]))
+        families, n = ordinal.features(data, offsets)
+        score = sum(scale * (model.weights[f[lo[0] : hi[0]]].sum() / max(1, hi[0] - lo[0])) for scale, (f, lo, hi) in zip(ordinal.SCALES, families))
+        tails = [1 / (1 + np.exp(c - score)) if n[0] else 0.0 for c in model.thresholds]
+        assert r["__expected"] == pytest.approx(sum(tails)) and r["__tail"] == pytest.approx(tails[0])
+        assert r["___kept"] == (tails[0] >= 0.5)  # the table has a column __kept of its own

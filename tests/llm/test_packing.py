@@ -86,7 +86,7 @@ def test_pack_empty(spark):
 def test_encoder_forgets_and_remembers(monkeypatch):
     import public_tokenizers
 
-    monkeypatch.setattr(packing, "REMEMBERED", 3)
+    monkeypatch.setattr(packing, "REMEMBERED", 600)
     e = packing.Encoder(public_tokenizers.path(packing.VOCABULARY))
     texts = [b"one two three four", b"five six", b"one six seven"]
     fresh = packing.Encoder(public_tokenizers.path(packing.VOCABULARY))
