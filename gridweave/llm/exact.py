@@ -25,14 +25,15 @@ def _grouped(docs: DataFrame, **columns: Column) -> DataFrame:
     chunked = base.withColumn("chunks", F.regexp_extract_all("norm", F.lit(_CHUNK), F.lit(0)))
     slim = materialize(chunked.select("doc_id", *names, "n_cp", F.sha2("norm", 256).alias("text_sha256"), F.transform("chunks", _ids).alias("recipe")))
 
-    store = chunked.select(F.explode("chunks").alias("c")).select(_ids(F.col("c")).alias("id"), "c").groupBy("id.a", "id.b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    unverified = [(r.a, r.b) for r in store.where("lo <> hi").select("a", "b").collect()]  # two in 2**64 texts share an identifier by chance
-
-    if unverified:
-        bad = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in unverified))
-        slim = slim.withColumn("digest", F.when(F.arrays_overlap("recipe", bad), F.col("text_sha256")).otherwise(""))
-    else:
+    # the store holds a digest of each chunk, which is as long for any chunk; under two digests an identifier is not verified
+    store = chunked.select(F.explode("chunks").alias("c")).select(_ids(F.col("c")).alias("id"), F.sha2("c", 256).alias("s")).groupBy("id.a", "id.b").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    unverified = materialize(store.where("lo <> hi").select("a", "b"))  # two in 2**64 chunks share an identifier by chance
+    if unverified.isEmpty():
         slim = slim.withColumn("digest", F.lit(""))
+    else:
+        held = slim.select("text_sha256", F.explode("recipe").alias("id")).select("text_sha256", "id.a", "id.b").distinct()
+        held = held.join(unverified, ["a", "b"], "left_semi").select(F.col("text_sha256").alias("u_sha256")).distinct()
+        slim = slim.join(held, slim["text_sha256"] == held["u_sha256"], "left").withColumn("digest", F.when(F.col("u_sha256").isNotNull(), F.col("text_sha256")).otherwise("")).drop("u_sha256")
     key = ["digest", "recipe"]
     groups = slim.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.col("n_cp")).alias("m"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), *names)).alias("best"))
     groups = groups.where("n > 1").select(*(F.col(k).alias(f"g_{k}") for k in key), "n", "best")
@@ -44,10 +45,10 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
     1. Each text becomes a recipe: the ordered identifiers of its content-defined
        chunks. Equal texts have equal recipes, so a text moves no further.
-    2. Every chunk goes once, combined on the map side, to the chunk store, which
-       compares the bytes under each identifier. An identifier under which two
-       chunks differ is not verified; recipes that hold one are compared by the
-       digest of the whole text.
+    2. Every chunk goes once, combined on the map side, to the chunk store as its
+       identifier and SHA-256, which stands for its bytes. An identifier under
+       which two chunks differ is not verified; recipes that hold one are compared
+       by the digest of the whole text.
     3. Recipes, not texts, are grouped. Only groups of two or more are joined
        back, so that a hot group is combined before its shuffle, and the
        join's hot side is slim rows that adaptive execution can split.

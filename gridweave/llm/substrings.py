@@ -125,7 +125,10 @@ def _settle(rows: pa.Table, cut: np.ndarray) -> Iterator[pa.RecordBatch]:
     off = reach[row] - k
     key = mix(mix(anchor.view(np.uint64) + salt.astype(np.uint64))[row] ^ mix(hashes + off.astype(np.uint64)))
     order = np.argsort(key)
+    # windows are one only if anchor (12 words, one hash family), window (all words, another) and offset all agree
     new = np.append(True, key[order][1:] != key[order][:-1])
+    for x in (anchor[row], hashes, off):
+        new[1:] |= x[order][1:] != x[order][:-1]
     often = np.zeros(len(key), bool)
     often[order] = (np.diff(np.append(np.flatnonzero(new), len(key))) > 1)[np.cumsum(new) - 1]
     mask = np.bitwise_or.reduceat(often.astype(np.int64) << k, starts)
@@ -240,6 +243,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits
     ignored; no rows give no rows.
     """
     found = repeats(docs, window, gram, bits)
+    found = found.groupBy("doc_id", "rid", "first").agg(F.bit_or("mask").alias("mask"))  # rows repeated with one text bring one list
     per_doc = found.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("first", "mask")).alias("found")).select(F.col("doc_id").alias("f_doc"), F.col("rid").alias("f_rid"), "found")
     src = _source(docs)
     joined = src.join(per_doc, src["doc_id"].eqNullSafe(per_doc["f_doc"]) & (src["rid"] == per_doc["f_rid"]), "left").select("doc_id", "text", "found")
