@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache, reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -13,13 +14,17 @@ from xxhash import xxh64_intdigest
 
 from .common import documents, drop_rows, materialize, text_key, whole
 from .components import components
+from .text import mix
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Blocks of the fingerprint and how many of them a bucket fixes: RADIUS differences leave BLOCKS - RADIUS blocks alike.
 BLOCKS, FIXED = 6, 2
+#: Rows that a task fingerprints and hands back at once.
+OUT_ROWS = 500
 PIVOTS = np.random.default_rng(64).integers(0, 2**64, 24, dtype=np.uint64)
-#: A bucket with more than this share of all rows, and at least HOT_ROWS, is split by further blocks.
-HOT_SHARE, HOT_ROWS = 1 / 10_000, 4096
+#: Rows of a bucket, at most, that are compared at each depth; a larger bucket is split by further blocks. At the last depth 45
+#: bits are fixed, so that no bucket has more than 2**19 rows.
+MOST = (4096, 65_536, 1 << 19)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -44,7 +49,7 @@ def fingerprints(docs: DataFrame, keyed: bool = False) -> DataFrame:
     """doc_id and fp (signed 64 bits) of every whole text; null text counts as empty. keyed: also own, the row's text_key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part.slice(lo, OUT_ROWS) for part in batches for lo in range(0, part.num_rows, OUT_ROWS)):
             fps = np.fromiter((fingerprint(t or b"") for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", *b.schema.names[2:]])
 
@@ -52,20 +57,35 @@ def fingerprints(docs: DataFrame, keyed: bool = False) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole("text").cast("binary").alias("text"), *more).mapInArrow(run, "doc_id long, fp long" + ", own string" * keyed)
 
 
-def _masks(bits: list[int], blocks: int, fixed: int) -> list[int]:
-    """Masks of every choice of fixed blocks among the given bits, as signed 64-bit values."""
+def _masks(bits: list[int], blocks: int = BLOCKS, fixed: int = FIXED) -> list[int]:
+    """Masks of every choice of fixed blocks among the given bits."""
     edges = [round(i * len(bits) / blocks) for i in range(blocks + 1)]
     parts = [sum(1 << b for b in bits[edges[i] : edges[i + 1]]) for i in range(blocks)]
-    return [m - (1 << 64) if m >> 63 else m for m in (sum(c) for c in combinations(parts, fixed))]
+    return [sum(c) for c in combinations(parts, fixed)]
+
+
+@cache
+def _choices(path: int) -> list[int]:
+    """Bits fixed after each further choice: path has the choices so far as hexadecimal digits after a 1."""
+    taken, digits = 0, hex(path)[3:]
+    for digit in digits:
+        taken |= _masks([b for b in range(64) if not taken >> b & 1])[int(digit, 16)]
+    return [taken | m for m in _masks([b for b in range(64) if not taken >> b & 1])]
 
 
-def _bucketed(df: DataFrame, masks_of: list[list[int]], level: str) -> DataFrame:
-    """A row for each fingerprint and mask: the masked fingerprint and the mask's number name a bucket."""
-    choices = F.array(*(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(m).alias("m")) for i, m in enumerate(masks))) for masks in masks_of))
-    picked = F.element_at(choices, F.col("bucket.i") + 1) if level == "deep" else choices[0]
-    x = df.withColumn("c", F.explode(picked))
-    own = F.struct(F.col("c.i").alias("i"), F.col("fp").bitwiseAND(F.col("c.m")).alias("v"))
-    return x.withColumn("deep", own).drop("c") if level == "deep" else x.select("fp", own.alias("bucket"))
+def _split(rows: DataFrame) -> DataFrame:
+    """(fp, path) to a row (fp, path, key) for each further choice; the fixed bits and the path name a bucket, key is their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part.slice(lo, 4096) for part in batches for lo in range(0, part.num_rows, 4096)):
+            fp, path = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
+            for p in np.unique(path).tolist():
+                own = fp[path == p]
+                for i, m in enumerate(_choices(p)):
+                    key = mix(mix(own & np.uint64(m)) + np.uint64(16 * p + i))
+                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.full(len(own), 16 * p + i)), pa.array(key.view(np.int64))], names=["fp", "path", "key"])
+
+    return rows.select("fp", "path").mapInArrow(run, "fp long, path long, key long")
 
 
 def local_links(bucket: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,23 +129,25 @@ def links(fps: DataFrame) -> DataFrame:
     No key but equality can enumerate candidates, so distinct fingerprints meet
     in buckets that fix FIXED of BLOCKS blocks: RADIUS differences spoil at most
     RADIUS blocks, so linked fingerprints share a bucket. Within buckets the
-    pivot table discards pairs. Buckets that hold a larger share of the rows than
-    HOT_SHARE (so at most 1 / HOT_SHARE of them, whose list is broadcast) are
-    split by a second choice of blocks among the bits left free, which loses no
-    link either; no bucket's pairs are ever emitted.
+    pivot table discards pairs. Buckets of more than MOST rows, a number that
+    does not grow with the data, are split by a second and third choice of blocks
+    among the bits left free, which loses no link either; no bucket's pairs are
+    ever emitted. The counts of buckets are written and joined back: those of one
+    fingerprint, nearly all, never reach Python.
     """
-    masks = _masks(list(range(64)), BLOCKS, FIXED)
-    free = [[b for b in range(64) if not (m >> b) & 1] for m in masks]
-    rows = _bucketed(fps.select("fp"), [masks], "flat")
-    total = fps.count() * len(masks)
-    hot = rows.groupBy("bucket").count().where(F.col("count") > max(HOT_ROWS, total * HOT_SHARE)).select(F.col("bucket").alias("h"), F.lit(True).alias("is_hot"))
-    rows = rows.join(F.broadcast(hot), rows["bucket"] == hot["h"], "left").drop("h")
-    plain = rows.where("is_hot is null").select("fp", F.xxhash64("bucket.i", "bucket.v").alias("key"))
-    deep = _bucketed(rows.where("is_hot").select("fp", "bucket"), [_masks(f, BLOCKS, FIXED) for f in free], "deep").select("fp", F.xxhash64("bucket.i", "bucket.v", "deep.i", "deep.v").alias("key"))
-    rows = plain.union(deep)
-    lone = F.count(F.lit(1))
-    several = rows.groupBy("key").agg(lone.alias("n")).where("n > 1").select("key")
-    rows = rows.join(several, "key", "left_semi")  # nearly all buckets hold one fingerprint, and those never reach Python
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    masks = F.array(*(F.struct(F.lit(16 + i).cast("long").alias("path"), F.lit(signed(m)).alias("m")) for i, m in enumerate(_choices(1))))
+    rows = fps.select("fp", F.explode(masks).alias("c")).select("fp", "c.path", F.xxhash64("c.path", F.col("fp").bitwiseAND(F.col("c.m"))).alias("key"))
+    ready = []
+    for depth, most in enumerate(MOST):
+        counts = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        rows = rows.join(counts, "key")
+        last = depth + 1 == len(MOST) or counts.where(F.col("n") > most).isEmpty()
+        ready.append((rows if last else rows.where(F.col("n") <= most)).select("key", "fp"))
+        if last:
+            break
+        rows = materialize(_split(rows.where(F.col("n") > most)))
+    rows = reduce(DataFrame.union, ready)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest_key, rest_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -144,7 +166,7 @@ def links(fps: DataFrame) -> DataFrame:
         if len(rest_key):
             yield out(rest_key, rest_fp)
 
-    return rows.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -75,8 +75,7 @@ def test_near_empty(spark):
 @pytest.mark.parametrize("hot", [False, True])
 def test_links_of_dense_and_random_fingerprints(spark, monkeypatch, hot):
     if hot:
-        monkeypatch.setattr(simhash, "HOT_ROWS", 3)
-        monkeypatch.setattr(simhash, "HOT_SHARE", 0)
+        monkeypatch.setattr(simhash, "MOST", (3, 5, 1 << 19))
     rng = np.random.default_rng(5)
     fps = {int(x) for x in rng.integers(0, 2**64, 150, dtype=np.uint64)}
     for base in list(fps)[:12]:
@@ -160,3 +159,9 @@ def test_words_of_a_slice(texts):
         h = w.hashes()
         flat = [x for d in want for x in d]
         assert len(set(h.tolist())) == len(set(flat))
+
+
+def test_repeats_of_rows_with_one_text_and_no_id(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text, "en", "a", None)] * 5 + [(4, "x " + text, "en", "a", None), (4, "x " + text, "en", "a", None)]
+    check_repeats(substrings.remove_repeats(table(spark, rows)), [r[:2] for r in rows])
