@@ -90,7 +90,7 @@ def brute_targets(sizes, weights=(5, 2, 1), budget=1.5, cap=2):
 
 
 def test_mix_odd_rows(spark):
-    rows = mixing.mix(table(spark)).select("doc_id", "source", "__size", "__source_size", "__target", "__taken").collect()
+    rows = mixing.mix(table(spark, extra=False)).select("doc_id", "source", "__size", "__source_size", "__target", "__taken").collect()
     sizes = Counter()
     for _, t, _, s, _ in ROWS:
         sizes[s] += len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
@@ -119,9 +119,22 @@ def test_mixed_documents_hold_what_is_taken(spark):
     m = mixing.mixed_documents(docs)
     assert m.columns == docs.columns
     got = {r.source: r.w for r in m.groupBy("source").agg(F.sum(mixing.words_in("text")).alias("w")).collect()}
-    want = {r.source: r.w for r in mixing.mix(docs).groupBy("source").agg(F.sum("__taken").alias("w")).collect() if r.w}
+    want = {r.source: r.w for r in mixing.mix(docs).groupBy("source").agg(F.sum("___taken").alias("w")).collect() if r.w}
     assert got == want
 
 
 def test_mix_empty(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_running_sums_by_ranges(spark):
+    df = spark.createDataFrame([(f"s{k:03d}" if k else None, k % 7) for k in range(200)], "source string, n long").repartition(5)
+    by = [F.col("source").asc_nulls_last()]
+    one, many = ({(r.source, r.a, r.b) for r in mixing._ahead(df, by, m, a=F.lit(1), b=F.col("n")).collect()} for m in (False, True))
+    assert one == many and (None, 199, sum(k % 7 for k in range(1, 200))) in one
+
+
+def test_null_ids_are_spread_by_their_texts(spark):
+    rows = [(None, f"text number {k} of some words", "en", "a", None) for k in range(50)]
+    places = spark.createDataFrame(rows, SCHEMA).select(mixing._place("doc_id", "text", "s").alias("p")).distinct()
+    assert places.count() == 50
