@@ -7,6 +7,7 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import documents, whole
 
-ROUNDS, KEY = 10, b"gridweave-pseudonyms"
+ROUNDS = 10
+#: Who has the key can undo pseudonyms: this one is for the registered query and tests alone.
+QUERY_KEY = b"gridweave-pseudonyms"
 KINDS = ("email", "iban", "date", "ip", "phone", "ssn", "number")
 
 #: Each form starts at a word's edge and is bounded, so a scan is linear. Forms look at the class of a character only, which pseudonyms keep.
@@ -100,7 +103,7 @@ def _refill(template: str, new: str, keep: Callable[[str], bool] = str.isdigit)
 class Pseudonyms:
     """Pseudonyms under one key. A value of a kind and format goes to another of that kind and format, one to one."""
 
-    def __init__(self, key: bytes = KEY, invert: bool = False):
+    def __init__(self, key: bytes, invert: bool = False):
         self.key, self.invert, self.networks = key, invert, {}
 
     def permuted(self, tweak: str, n: int, x: int) -> int:
@@ -110,11 +113,13 @@ class Pseudonyms:
     def digits(self, tweak: str, s: str) -> str:
         return str(self.permuted(tweak, 10 ** len(s), int(s))).zfill(len(s))
 
-    def number(self, s: str) -> str:
-        """Card and account numbers: the check digit is set so that the Luhn sum, valid or not, stays."""
+    def number(self, s: str) -> str | None:
+        """Card and account numbers with a valid Luhn sum; the check digit is computed anew."""
         d = re.sub(r"\D", "", s)
-        body, want = self.digits("number", d[:-1]), luhn(d)
-        return _refill(s, next(body + c for c in "0123456789" if luhn(body + c) == want))
+        if luhn(d):
+            return None
+        body = self.digits("number", d[:-1])
+        return _refill(s, body + str(-luhn(body + "0") % 10))
 
     def phone(self, s: str) -> str:
         """The country code after a plus stays, and the leading 0 of ten digits in pairs."""
@@ -167,9 +172,8 @@ class Pseudonyms:
                 return None
             if form[1] != "m":
                 return datetime.date.fromordinal(first + self.permuted("date", days, day.toordinal() - first)).strftime(form)
-            # month first: among the days that cannot be read day first (13 to 31), by year and position
-            good = [d for y in range(1900, 2100) for d in _late_days(y)]
-            at = {d: i for i, d in enumerate(good)}
+            # month first: among the days that cannot be read day first (13 to 31), by their place
+            good, at = _late_days()
             return datetime.date.fromordinal(good[self.permuted("date-m", len(good), at[day.toordinal()])]).strftime(form)
         return None
 
@@ -259,18 +263,22 @@ def _readings(text: str, m: re.Match) -> Iterator[tuple[int, str]]:
             yield other.end(), later
 
 
-def _late_days(year: int) -> list[int]:
-    first, end = datetime.date(year, 1, 1).toordinal(), datetime.date(year + 1, 1, 1).toordinal()
-    return [d for d in range(first, end) if datetime.date.fromordinal(d).day > 12]
+@cache
+def _late_days() -> tuple[list[int], dict[int, int]]:
+    """The days of 1900 to 2099 after a month's 12th, and the place of each; made once for each worker."""
+    first, end = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal()
+    good = [d for d in range(first, end) if datetime.date.fromordinal(d).day > 12]
+    return good, {d: i for i, d in enumerate(good)}
 
 
-def pseudonymize(docs: DataFrame, key: bytes = KEY, invert: bool = False) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: bytes, invert: bool = False) -> DataFrame:
     """doc_id, text and spans of every row: each valid value is replaced by its pseudonym.
 
-    Numbers of 13 to 19 digits, IBANs, phone and social security numbers, IPv4
-    addresses, dates and mail addresses are checked where their kind has a check,
-    and keyed-permuted within their format; equal values stay equal in all
-    documents and different ones different. What fails its check stays as it is,
+    Numbers of 13 to 19 digits with a valid Luhn sum, IBANs, phone and social
+    security numbers, IPv4 addresses, dates and mail addresses are checked where
+    their kind has a check, and keyed-permuted within their format; equal values
+    stay equal in all documents and different ones different. key has no default,
+    as its holder can undo every pseudonym. What fails its check stays as it is,
     but what lies in it is looked at on its own. An IBAN ends where its country's
     length says, else with its longest match. invert restores the original texts.
     One pass, no shuffle; whole texts.
@@ -290,6 +298,6 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY, invert: bool = False) -> Dat
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    out = pseudonymize(documents(spark, sf_dir))
+    out = pseudonymize(documents(spark, sf_dir), QUERY_KEY)
     count = lambda k: F.size(F.filter("spans", lambda x: x.kind == k)).cast("long").alias(f"n_{k}")
     return out.select("doc_id", "text", *map(count, KINDS))

@@ -13,12 +13,12 @@ ACCESS, HEX = r"AKIA[A-Z0-9]{12,}", r"(?<![0-9a-f])[0-9a-f]{32,}+"
 MIN_ASSIGN = 8
 KINDS = ("assign", "access", "hex", "markov")
 
-#: Candidates of the Markov models: runs of token characters. LLR: nats per transition that a random string must win by.
-CANDIDATE, LLR = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+", 0.35
+#: Candidates of the Markov models: runs of token characters.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 #: Parts of a run between its separators, which are scored where the run as a whole is not taken.
 PART = r"(?<![A-Za-z0-9+])[A-Za-z0-9+]{20,}+"
 #: Printable ASCII, 95 characters, and one state for the start of a string.
-STATES, SMOOTHING = 96, 0.5
+STATES, SMOOTHING, LEAN = 96, 0.5, 0.7
 
 #: Labelled sample of ordinary names, joined in pairs and triples by usual separators when a model is trained.
 ORDINARY = """
@@ -37,14 +37,17 @@ organization output owner package padding parameter parent parser partition pass
 """.split()
 
 
-def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """(text, label): label 1 for random strings in base 64, base 62, upper case and hex, 0 for names and paths made of ORDINARY words."""
-    ids = spark.range(n)
+def labelled_samples(spark: SparkSession, n: int = 4000, first: int = 0, words: list[str] = ORDINARY) -> DataFrame:
+    """(text, label): n random strings in base 64, base 62, upper case and hex (label 1), and n names and paths made of words (label 0).
+
+    Samples of numbers from first on: those of ranges that do not meet are different strings.
+    """
+    ids = spark.range(first, first + n)
     h = F.sha2(F.col("id").cast("string"), 256)
     b64 = F.base64(F.unhex(h))
     random = F.element_at(F.array(b64, F.regexp_replace(b64, "[+/=]", ""), F.substring(h, 1, 40), F.upper(F.regexp_replace(b64, "[+/=a-z]", "7")), F.translate(b64, "+/", "-_")), (F.col("id") % 5 + 1).cast("int"))
-    words = F.array(*map(F.lit, ORDINARY))
-    pick = lambda i: F.element_at(words, (F.conv(F.substring(h, 1 + 8 * i, 7), 16, 10).cast("long") % len(ORDINARY) + 1).cast("int"))
+    listed = F.array(*map(F.lit, words))
+    pick = lambda i: F.element_at(listed, (F.conv(F.substring(h, 1 + 8 * i, 7), 16, 10).cast("long") % len(words) + 1).cast("int"))
     parts = F.array(pick(0), pick(1), pick(2), pick(3))
     name = F.element_at(F.array(F.array_join(parts, "_"), F.array_join(F.transform(parts, F.initcap), ""), F.array_join(parts, "-"), F.array_join(parts, "/"), F.upper(F.array_join(parts, "_")), F.array_join(F.slice(parts, 1, 3), ""), F.concat(F.array_join(parts, "_"), F.col("id") % 100), F.array_join(parts, "")), (F.col("id") % 8 + 1).cast("int"))
     return ids.select(random.alias("text"), F.lit(1).alias("label")).union(ids.select(name.alias("text"), F.lit(0).alias("label")))
@@ -82,6 +85,21 @@ def log_ratio(text: Column, table: list[float]) -> Column:
     return F.aggregate(_states(text), zero, step, lambda st: st.s) / F.greatest(F.char_length(text), F.lit(1))
 
 
+def fit(samples: DataFrame, smoothing: float = SMOOTHING) -> tuple[list[float], float]:
+    """A table from train() on one half of the samples, and a threshold from the other half.
+
+    The threshold lies between what all but one in 200 ordinary strings stay
+    below and what all but one in 50 random ones exceed, LEAN of the way up: other
+    languages' words are further from the ordinary sample than from it are keys.
+    """
+    half = F.pmod(F.xxhash64(F.lit("half"), "text"), F.lit(2))
+    table = train(samples.where(half == 0), smoothing)
+    scored = samples.where(half == 1).select("label", log_ratio(F.col("text"), table).alias("r"))
+    of = lambda label, q: F.percentile(F.when(F.col("label") == label, F.col("r")), F.lit(q))
+    low, high = scored.agg(of(0, 0.995), of(1, 0.02)).first()
+    return table, low + LEAN * (high - low)
+
+
 def _located(text: Column, pattern: str, group: int, needs: Column | None = None) -> Column:
     """(start, end, hit) of each leftmost match, in code points: what lies between matches gives the places.
 
@@ -102,19 +120,22 @@ def _located(text: Column, pattern: str, group: int, needs: Column | None = None
     return F.when(text.rlike(pattern) if needs is None else needs & text.rlike(pattern), F.aggregate(zipped, zero, step, lambda st: st.out)).otherwise(none)
 
 
-def scan(docs: DataFrame, table: list[float] | None = None, threshold: float = LLR) -> DataFrame:
+def scan(docs: DataFrame, model: tuple[list[float], float] | None = None) -> DataFrame:
     """doc_id and spans: array of (start, end, kind, base) of every whole text, by start, then kind.
 
-    kind is a place in KINDS. Base spans come from the patterns; the Markov
-    models add candidates with lower case letters or upper case letters and with
-    digits whose mean log-likelihood ratio exceeds threshold, unless they touch a
-    base span. Of runs that are not added, the parts between / = - and _ are
-    scored in the same way on their own. table: transition ratios from train(), else of labelled_samples().
+    kind is a place in KINDS. Base spans come from the patterns; that of an assign
+    match is its value (group 2), without the key word. The Markov models add
+    candidates with a letter and a digit whose mean log-likelihood ratio exceeds
+    threshold, unless they touch a base span. Of runs that are not added, the
+    parts between / = - and _ are scored in the same way on their own. A key
+    without any digit is not added: one in 30 random base-64 strings of 20
+    characters, one in 800 of 40. model: transition ratios and threshold, by
+    default those that fit() gives for labelled_samples().
 
     One pass, no shuffle. Null text counts as empty and has no span; other
     columns are ignored; each row gives a row.
     """
-    table = train(labelled_samples(docs.sparkSession)) if table is None else table
+    table, threshold = fit(labelled_samples(docs.sparkSession)) if model is None else model
     text = F.col("text")
     d = docs.select(F.col("doc_id"), whole("text").alias("text"))
     d = d.select("doc_id", _located(text, ASSIGN, 1, F.contains(text, F.lit(":")) | F.contains(text, F.lit("="))).alias("assign"), _located(text, ACCESS, 0, F.contains(text, F.lit("AKIA"))).alias("access"), _located(text, HEX, 0).alias("hex"), _located(text, CANDIDATE, 0).alias("markov"), _located(text, PART, 0).alias("parts"))
