@@ -56,22 +56,35 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Bits of the sketch of classes that go: 2**20 cells of 64 bits, 16 MB at most whatever the input.
+CELL_BITS = 20
+
+
 def drop_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """docs, with all its columns, less the rows that go.
 
     rows has (doc_id, own, stays) for each row of docs in a group of several, own
     being its text_key. Rows with the same doc_id, null or not, and the same own
     are equal: they share a verdict, and one of them stays (the least by its
-    other columns). The classes that go are slim, so the anti-join can turn to a
-    broadcast at run time; rows are combined on the map side.
+    other columns). Texts of rows that stay for sure do not move: a bit map of
+    fixed size says which rows may be in a class that goes, and only those, the
+    copies and a few false alarms, are shuffled to the classes. A full map costs
+    shuffle, never a wrong row.
     """
     classes = rows.groupBy("doc_id", "own").agg(F.max("stays").alias("once"), F.count(F.lit(1)).alias("n")).where("not once or n > 1")
     classes = materialize(classes.select(F.col("doc_id").alias("k_id"), F.col("own").alias("k_own"), "once"))
     again = classes.where("once")
+    bit = lambda h: F.expr(f"shiftleft(1L, cast({h} & 63 as int))")
+    cell = F.shiftrightunsigned("h", 64 - CELL_BITS).alias("cell")
+    sketch = classes.select(F.xxhash64("k_id", "k_own").alias("h")).select(cell, bit("h").alias("b")).groupBy("cell").agg(F.bit_or("b").alias("bits"))
     d, names = numbered(docs)
-    same = F.col(names["doc_id"]).eqNullSafe(F.col("k_id")) & (text_key(names["text"]) == F.col("k_own"))
-    stay = d.join(classes, same, "left_anti")
+    key = text_key(names["text"])
+    marked = d.withColumn("h", F.xxhash64(names["doc_id"], key)).withColumn("cell", cell).join(F.broadcast(sketch), "cell", "left")  # 2**CELL_BITS rows at most
+    may = F.coalesce(F.col("bits"), F.lit(0)).bitwiseAND(bit("h")) != 0
+    same = F.col(names["doc_id"]).eqNullSafe(F.col("k_id")) & (key == F.col("k_own"))
+    suspects = marked.where(may).select(*names.values())
+    stay = marked.where(~may).select(*names.values()).unionByName(suspects.join(classes.hint("merge"), same, "left_anti"))
     if not again.isEmpty():
-        one = d.join(again, same).groupBy("k_id", "k_own").agg(F.min(F.struct(*names.values())).alias("row"))
+        one = suspects.join(again.hint("merge"), same).groupBy("k_id", "k_own").agg(F.min(F.struct(*names.values())).alias("row"))
         stay = stay.unionByName(one.select("row.*"))
     return stay.select(*restored(names))
