@@ -216,10 +216,12 @@ def noise_worley(spark, sf_dir):
     return rounded(let.done(f1=f1, f2=f2, f2_f1=f2 - f1, manhattan=man, chebyshev=che).drop("x", "z"))
 
 
+_GRAD8 = lambda h, x, z: f"CASE {h} & 7 WHEN 0 THEN {x} + {z} WHEN 1 THEN {z} - {x} WHEN 2 THEN {x} - {z} WHEN 3 THEN -{x} - {z} WHEN 4 THEN {x} WHEN 5 THEN -{x} WHEN 6 THEN {z} ELSE -{z} END"
+
+
 def _simplex_sql() -> str:
     f, g = f"{noise.SKEW}::DOUBLE", f"{noise.UNSKEW}::DOUBLE"
-    grad = lambda h, x, z: f"CASE {h} & 7 WHEN 0 THEN {x} + {z} WHEN 1 THEN {z} - {x} WHEN 2 THEN {x} - {z} WHEN 3 THEN -{x} - {z} WHEN 4 THEN {x} WHEN 5 THEN -{x} WHEN 6 THEN {z} ELSE -{z} END"
-    part = lambda h, x, z: f"CASE WHEN 0.5 - {x} * {x} - {z} * {z} < 0 THEN 0 ELSE (0.5 - {x} * {x} - {z} * {z}) ** 4 * ({grad(h, x, z)}) END"
+    part = lambda h, x, z: f"CASE WHEN 0.5 - {x} * {x} - {z} * {z} < 0 THEN 0 ELSE (0.5 - {x} * {x} - {z} * {z}) ** 4 * ({_GRAD8(h, x, z)}) END"
     return f"""WITH {_CELLS}, a AS (SELECT i, j, x * 0.037::DOUBLE AS px, z * 0.037::DOUBLE AS pz FROM s), b AS (SELECT *, floor(px + (px + pz) * {f}) AS ci, floor(pz + (px + pz) * {f}) AS cj FROM a),
     d AS (SELECT *, px - (ci - (ci + cj) * {g}) AS x0, pz - (cj - (ci + cj) * {g}) AS z0 FROM b), e AS (SELECT *, CASE WHEN x0 > z0 THEN 1 ELSE 0 END AS i1, CASE WHEN x0 > z0 THEN 0 ELSE 1 END AS j1 FROM d),
     f AS (SELECT *, x0 - i1 + {g} AS x1, z0 - j1 + {g} AS z1, x0 - 1 + 2 * {g} AS x2, z0 - 1 + 2 * {g} AS z2, {_lattice_sql('ci', 'cj', 42)} AS h0, {_lattice_sql('ci + i1', 'cj + j1', 42)} AS h1, {_lattice_sql('ci + 1', 'cj + 1', 42)} AS h2 FROM e)
