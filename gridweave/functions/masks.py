@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .math import clamp, in_polygon, mix, polyline_distance, smoothstep, span
@@ -108,3 +108,20 @@ def polygon(u: Column, v: Column, points: list[tuple[float, float]], soft: float
 def ribbon(u: Column, v: Column, points: list[tuple[float, float]], width: float) -> Column:
     """1 on a polyline, falling to 0 over width; 0 for fewer than two points."""
     return F.lit(0.0) if len(points) < 2 else clamp(1.0 - polyline_distance(u, v, points) / max(width, 1e-5))
+
+
+#: Fields of a landscape that a mask may read by name, besides any other; a field that is not there at all counts as full, hardness as none.
+FIELD_SOURCES = ("wetness", "sediment", "erosion", "deposition", "hardness", "temperature", "rainfall", "humidity", "snow", "soil_moisture", "wind_exposure", "painted", "layer_output", "named")
+
+
+def field_masks(df: DataFrame, fields: DataFrame, names: tuple[str, ...] = FIELD_SOURCES) -> DataFrame:
+    """df with a mask for each named field of (i, j, field, value); 0 where a field has no value for a cell.
+
+    All masks come from one pivot, so that any number of them costs one shuffle.
+    """
+    value = lambda n: F.max(F.when(F.col("field") == n, F.col("value"))).alias(n)
+    own = fields.where(F.col("field").isin(*names))
+    there = {r.field for r in own.select("field").distinct().collect()}  # names at most
+    wide = own.groupBy("i", "j").agg(*map(value, names))
+    fill = lambda n: F.coalesce(F.col(n), F.lit(0.0)) if n in there else F.lit(0.0 if n == "hardness" else 1.0)
+    return df.join(wide, ["i", "j"], "left").withColumns({n: fill(n) for n in names})

@@ -716,7 +716,7 @@ def seed_distance(spark, sf_dir):
 @query("strahler_order")
 def strahler_order(spark, sf_dir):
     g = hydrology.persisted(hydrology.accumulate(grid(spark, sf_dir)))
-    return hydrology.strahler(g, "area", 3.0).select("i", "j", F.col("order").cast("int").alias("order"))
+    return hydrology.strahler(g, "area", 3.0).select("i", "j", F.col("order").cast("int").alias("strahler"))
 
 
 @query("channel_fields", _PATHS + ", a AS (SELECT i, j, CAST(count(*) AS DOUBLE) AS area FROM w GROUP BY i, j) SELECT i, j, CASE WHEN area >= 3 THEN CAST(1 + floor(log2(area / 3)) AS INT) ELSE 0 END AS log_order, round(CASE WHEN area >= 3 THEN 1.5 * sqrt(area / 3) ELSE 0 END, 9) + 0.0 AS width, round(least(0.02 * area ** 0.5 * 0.3 * 10, 5.0, 2.0), 9) + 0.0 AS step FROM a")

@@ -7,12 +7,12 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import masks, noise
-from ..functions.program import Program
-from ..operators import effects, filters
+from ..functions.program import Program, run
+from ..operators import effects, filters, rock
 from ..sources import grid as source
 from ..sources import landforms
 from .base import GRID, M, grid, rounded, with_grid
-from .catalog import _FLOW, _FU, _FV, _GRAD8, _N4, _PERLIN, _VALUE, _lattice_sql, _square, clamp_sql, query
+from .catalog import _FLOW, _GRAD8, _N4, _P, _PATHS, _PERLIN, _VALUE, ORACLE_SQL, _lattice_sql, _square, clamp_sql, query
 
 #: The map that landforms are drawn on.
 MAP = source.Metrics(40, 32, 3200.0, 2560.0, tile=8)
@@ -179,3 +179,100 @@ query("filter_wind_carve", with_grid(f"""SELECT i, j, round(h + (least(greatest(
   (SELECT s.i, s.j, s.h, s.gust, sum(o.h * w.w) FILTER (WHERE w.side = 0) / sum(w.w) FILTER (WHERE w.side = 0 AND o.h IS NOT NULL) AS wind, sum(o.h * w.w) FILTER (WHERE w.side = 1) / sum(w.w) FILTER (WHERE w.side = 1 AND o.h IS NOT NULL) AS lee
    FROM {_GUST_LAST} s CROSS JOIN (VALUES {_WIND}) w(side, di, dj, w) LEFT JOIN g o ON o.i = s.i + w.di AND o.j = s.j + w.dj GROUP BY 1, 2, 3, 4) t""", f"{_N4}, {_SLOPED}, {_GUSTED}"))(_run("wind_carve", _OW, 7))
 query("filter_smooth_ridges", with_grid(f"SELECT g.i, g.j, round(avg(o.out), 6) + 0.0 AS h FROM g, range(-1, 2) a, range(-1, 2) b, (SELECT i, j, out FROM {program_sql(effects.ridged_detail(M, filters.Options(amount=6.0, frequency=0.01, seed=9)), 'gs', _COLUMNS)[1]}) o WHERE o.i = least(31, greatest(0, g.i + a.range)) AND o.j = least(31, greatest(0, g.j + b.range)) GROUP BY 1, 2", f"{_N4}, {_SLOPED}, {program_sql(effects.ridged_detail(M, filters.Options(amount=6.0, frequency=0.01, seed=9)), 'gs', _COLUMNS)[0]}"))(_run("smooth_ridges", filters.Options(amount=6.0, frequency=0.01, seed=9, radius=1), 6))
+
+
+# ------------------------------------------------------------------ rock
+
+_RV = f"""rv AS (SELECT d.i, d.j, greatest(pl, 0) * (0.35 + 0.65 * s) AS ridge, greatest(-pl, 0) * (1 - 0.4 * s) AS valley, s, pr FROM (SELECT d.i, d.j, degrees(atan(sqrt(p * p + q * q))) / 90 AS s, plan / greatest(max(abs(plan)) OVER (), 1e-6) AS pl, profile / greatest(max(abs(profile)) OVER (), 1e-6) AS pr FROM d JOIN w USING (i, j)) d)"""
+_ROCK = f"{_N4}, {_P}, {_RV}, {_SLOPED}"
+
+
+@query("ridge_valley", with_grid("SELECT i, j, round(ridge, 7) + 0.0 AS ridge, round(valley, 7) + 0.0 AS valley FROM rv", _ROCK))
+def ridge_valley(spark, sf_dir):
+    return rounded(rock.ridge_valley(grid(spark, sf_dir), M, 12.0).select("i", "j", "ridge", "valley"), digits=7)
+
+
+@query("detect_cliffs", with_grid(f"""SELECT i, j, round(g * g * (3 - 2 * g), 6) + 0.0 AS cliff FROM (SELECT i, j, {clamp_sql('(k / max(k) OVER () - 0.25) / 0.55')} AS g FROM (SELECT n.i, n.j,
+  {clamp_sql('(greatest(h, hl, hr, hd, hu) - least(h, hl, hr, hd, hu)) / (0.5 * 10 * 4)')} * 0.45 + {clamp_sql('(s * 90 - 12) / 78')} * 0.40 + abs(pr) * 0.15 AS k FROM n JOIN rv USING (i, j)) t) q""", _ROCK))
+def detect_cliffs(spark, sf_dir):
+    return rounded(rock.cliffs(grid(spark, sf_dir), M, 1, 0.5, 12.0).select("i", "j", "cliff"), digits=6)
+
+
+_LOW = "gl AS (SELECT *, min(h) OVER () AS lo FROM gs)"
+_BEDS = {"tilted": ("tilted", 12.0, 45.0), "folded": ("folded", 9.0, 60.0, 9), "warped": rock.rock_beds(0.03, 0.6, 9), "horizontal": ("horizontal",)}
+
+
+def _beds(name: str, geometry: tuple) -> None:
+    stages, last = program_sql(rock.beds(0.03, 0.6, geometry), "gl", {*_COLUMNS, "lo"})
+    query(f"strata_{name}", with_grid(f"SELECT i, j, round(strat, 7) + 0.0 AS strat, hardness, erodibility, layer FROM {last}", f"{_N4}, {_SLOPED}, {_LOW}, {stages}"))(
+        lambda spark, sf_dir: rounded(run(source.with_world(_lowest(grid(spark, sf_dir)), M), rock.beds(0.03, 0.6, geometry), "strat", "hardness", "erodibility", "layer").select("i", "j", "strat", "hardness", "erodibility", "layer"), "strat", digits=7)
+    )
+
+
+def _lowest(df):
+    return df.withColumn("lo", F.lit(df.agg(F.min("h")).first()[0]))
+
+
+for _name, _geometry in _BEDS.items():
+    _beds(_name, _geometry)
+
+_FACE = "((i * 7 + j * 13) % 11) / 10.0::DOUBLE"
+_EXPOSED, _EXPOSED_LAST = program_sql(rock.beds(0.03, 0.6, _BEDS["warped"]), "gl", {*_COLUMNS, "lo"})
+
+
+@query("expose_strata", with_grid(f"SELECT i, j, round(h - soft * 8 * face + CASE WHEN soft < 0.35 THEN soft * 8 * 0.15 * face ELSE 0 END, 8) + 0.0 AS h FROM (SELECT *, 1 - hardness AS soft, {_FACE} AS face FROM {_EXPOSED_LAST}) t", f"{_N4}, {_SLOPED}, {_LOW}, {_EXPOSED}"))
+def expose_strata(spark, sf_dir):
+    d = rock.with_beds(grid(spark, sf_dir), M, 0.03, 0.6, _BEDS["warped"])
+    return rounded(rock.expose(d.withColumn("face", ((F.col("i") * 7 + F.col("j") * 13) % 11) / 10.0), 8.0, "face").select("i", "j", "h"), digits=8)
+
+
+def _field(name: str, program: Program, out: str, digits: int, reads: str = "gs", columns: set[str] = _COLUMNS, prepare=lambda df: df) -> None:
+    """A query of one field of a program over the grid."""
+    stages, last = program_sql(program, reads, columns)
+    more = {"gs": "", "gl": f", {_LOW}", "gr": ", gr AS (SELECT gs.*, ridge FROM gs JOIN rv USING (i, j))"}[reads]
+    query(name, with_grid(f"SELECT i, j, round({out}, {digits}) + 0.0 AS {out} FROM {last}", f"{_ROCK}{more}, {stages}"))(lambda spark, sf_dir: rounded(run(source.with_world(prepare(grid(spark, sf_dir)), M), program, out).select("i", "j", out), digits=digits))
+
+
+_field("strata_band_displace", rock.band_program(0.03, 6.0, 9), "out", 7, "gl", {*_COLUMNS, "lo"}, _lowest)
+_field("fracture_field", rock.fracture_program(0.03, 9, 2), "frac", 7)
+_field("lithology_hardness", rock.lithology_program(0.5, 0.02, 9), "hardness", 8)
+_field("enhance_ridges", rock.ridge_program(6.0, 10.0, 60.0, 0.01, 9, False), "out", 6, "gr", {*_COLUMNS, "ridge"}, lambda df: effects.unit_gradient(rock.ridge_valley(df, M, 12.0), M))
+_field("gabor_kernel", effects.gabor(Program(), "gab", "x", "z", 0.02, 9), "gab", 7)
+_field("phasor_kernel", effects.phasor(Program(), "pha", "x", "z", 0.02, 9), "pha", 7)
+_field("phasor_directional", landforms.directional_phasor(Program(), "pha", 0.02, 0.6, 0.5, 9), "pha", 7)
+
+_STRIP = "(1 - (0.2 + 0.6 * (((i * 7 + j * 13) % 11) / 10.0::DOUBLE))) * (1 - ridge * 0.85) * 0.8"
+
+
+@query("differential_erode", with_grid(f"SELECT i, j, round(h + (least(h, m) - h) * {clamp_sql('k')}, 7) + 0.0 AS h FROM (SELECT g.i, g.j, g.h, avg(o.h) AS m, {_STRIP.replace('(i *', '(g.i *').replace('+ j *', '+ g.j *')} AS k FROM g JOIN rv ON rv.i = g.i AND rv.j = g.j JOIN g o ON abs(o.i - g.i) <= 1 AND abs(o.j - g.j) <= 1 GROUP BY g.i, g.j, g.h, ridge) t", _ROCK))
+def differential_erode(spark, sf_dir):
+    d = grid(spark, sf_dir).withColumn("hardness", 0.2 + 0.6 * (((F.col("i") * 7 + F.col("j") * 13) % 11) / 10.0))
+    return rounded(rock.differential_erode(d, M, 0.8, 1, radius_m=10.0).select("i", "j", "h"), digits=7)
+
+
+_OR = filters.Options(amount=6.0, frequency=0.02, radius=1, seed=9, slope_min=5.0, slope_max=60.0, extra={"rock_hardness": 0.5})
+for _name in ("rocky_sharp", "rocky_wide", "rocky_layers", "chipped", "rocky", "strata"):
+    query(f"filter_{_name}")(_run(_name, _OR, 6))
+
+
+# ------------------------------------------------------------------ masks from fields
+
+_KEYS = masks.FIELD_SOURCES
+
+
+@query("mask_fields", with_grid("SELECT i, j, " + ", ".join(f"coalesce(max(CASE WHEN n = {k} THEN v END), 0.0) AS {name}" for k, name in enumerate(_KEYS[:-1])) + f", 1.0::DOUBLE AS {_KEYS[-1]} FROM (SELECT g.i, g.j, s.range AS n, CASE WHEN (g.i + g.j + s.range) % 3 > 0 THEN g.h / (20.0::DOUBLE * (s.range + 1)) - 0.1 END AS v FROM g, range({len(_KEYS) - 1}) s) t GROUP BY i, j"))
+def mask_fields(spark, sf_dir):
+    g = grid(spark, sf_dir)
+    n = F.array(*(F.struct(F.lit(k).alias("n"), F.lit(name).alias("field")) for k, name in enumerate(_KEYS[:-1])))
+    fields = g.withColumn("f", F.explode(n)).where("(i + j + f.n) % 3 > 0").select("i", "j", "f.field", (F.col("h") / (20.0 * (F.col("f.n") + 1)) - 0.1).alias("value"))
+    return masks.field_masks(g, fields).select("i", "j", *_KEYS)
+
+
+# ------------------------------------------------------------------ SQL of queries that catalog has without
+
+_CHANNELS = _PATHS + """, a AS (SELECT i, j, count(*) AS area FROM w GROUP BY i, j), net AS (SELECT fl.i, fl.j, fl.ri, fl.rj FROM fl JOIN a USING (i, j) WHERE area >= 3),
+s AS (SELECT 0 AS it, i, j, ri, rj, 1 AS o FROM net UNION ALL
+  SELECT it + 1, i, j, ri, rj, o FROM (SELECT t.it, n.i, n.j, n.ri, n.rj, CASE WHEN d.top IS NULL THEN 1 WHEN d.ties > 1 THEN d.top + 1 ELSE d.top END AS o FROM net n CROSS JOIN (SELECT max(it) AS it FROM s) t
+    LEFT JOIN (SELECT ri, rj, max(o) AS top, count(*) FILTER (WHERE o = most) AS ties FROM (SELECT ri, rj, o, max(o) OVER (PARTITION BY ri, rj) AS most FROM s) q GROUP BY ri, rj) d ON d.ri = n.i AND d.rj = n.j WHERE t.it < 40) u)"""
+ORACLE_SQL["strahler_order"] = f"{_CHANNELS} SELECT fl.i, fl.j, CAST(coalesce(s.o, 0) AS INT) AS strahler FROM fl LEFT JOIN s ON s.i = fl.i AND s.j = fl.j AND s.it = 40"
+ORACLE_SQL["seed_distance"] = with_grid("SELECT g.i, g.j, round(coalesce(least(sqrt(min((g.i - s.i) ** 2 + (g.j - s.j) ** 2)) / sqrt(2048.0::DOUBLE), 1), 1.0), 9) + 0.0 AS distance FROM g LEFT JOIN (SELECT i, j FROM g WHERE h > 60) s ON true GROUP BY 1, 2")

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from ..functions import masks, noise
 from ..functions.blend import blend
 from ..functions.math import clamp, span
-from ..operators import filters, hydrology, pointwise, stencil
+from ..operators import effects, filters, hydrology, pointwise, rock, stencil  # noqa: F401  (effects and rock name their filters)
+from ..sources import landforms
 from ..sources.grid import Metrics, cells, ramp, with_world
 
 #: How a kind blends where a layer does not say.
@@ -59,6 +60,15 @@ def _blur(df: DataFrame, m: Metrics, p: dict) -> DataFrame:
     return stencil.shrinking_mean(df, p.get("radius", 1), p.get("iterations", 1))
 
 
+def _landform(kind: str):
+    """Heights of a landform in place of the grid's."""
+    return lambda df, m, p: landforms.landform(df.select("i", "j"), m, kind, **p).select("i", "j", "h")
+
+
+#: Layer kinds of a procedural shape's generators.
+SHAPES = {"mountain": "mountains", "hills": "fbm", "plateau": "plateau", "mesa": "mesa", "volcano": "volcano", "dunes": "dune_sand", "canyon": "canyons", "crater": "crater", "noise": "noise_perlin"}
+
+
 LAYERS: dict[str, Callable[[DataFrame, Metrics, dict], DataFrame]] = {
     "flat": lambda df, m, p: df.withColumn("h", F.lit(float(p.get("height", 0.0)))),
     "ramp": lambda df, m, p: ramp(df.drop("h"), m, p.get("direction", 0.0), p.get("height_min", 0.0), p.get("height_max", 100.0)).select(*df.columns),
@@ -70,10 +80,13 @@ LAYERS: dict[str, Callable[[DataFrame, Metrics, dict], DataFrame]] = {
     "ridged": _sampled(lambda let, x, z, p: noise.ridged(let, p.get("noise", "perlin"), x, z, _fractal(p))),
     "domain_warp": _sampled(lambda let, x, z, p: noise.domain_warp(let, x, z, _fractal(p), p.get("warp_strength", 40.0), p.get("warp_frequency", 0.01))),
     "voronoi_regions": _sampled(_regions),
+    **{kind: _landform(kind) for kind in landforms.LANDFORMS},
+    "procedural_shape": lambda df, m, p: LAYERS[SHAPES[p.get("generator", "mountain")]](df, m, p.get("params", {})),
     "plateau": lambda df, m, p: df.withColumn("h", pointwise.plateau(F.col("h"), p["low"], p["high"], p.get("soft", 1.0))),
     "coastal": lambda df, m, p: df.withColumn("h", pointwise.coastal(F.col("h"), p["sea_level"], p["beach_width"], p.get("shelf_depth", 0.0), p.get("flatten_below", True))),
     "blur": _blur,
     "thermal_erosion": lambda df, m, p: hydrology.thermal(df, m, p.get("talus_angle_deg", 32.0), p.get("strength", 0.5), p.get("iterations", 4), 1.0 - p.get("hardness", 0.0)),
+    "crater": lambda df, m, p: filters.apply(df.withColumn("h", F.lit(0.0)), m, "crater", filters.Options(**p)),
     "effect_filter": lambda df, m, p: filters.apply(df, m, p["filter"], filters.Options(**{k: v for k, v in p.items() if k != "filter"})),
 }
 
