@@ -100,7 +100,7 @@ def polygon(u: Column, v: Column, points: list[tuple[float, float]], soft: float
     """1 inside a polygon, falling to 0 over soft outside it; 1 everywhere for fewer than three points."""
     if len(points) < 3:
         return F.lit(1.0)
-    inside = in_polygon(u, v, points)
+    inside = in_polygon(u, v, points, floored=True)
     outside = F.lit(0.0) if soft <= 1e-6 else clamp(1.0 - polyline_distance(u, v, points, True) / soft)
     return F.when(inside, 1.0).otherwise(outside)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -161,3 +163,15 @@ def first_ids(df: DataFrame, m: Metrics, value: str, most: int = 4) -> DataFrame
     """The first few distinct ids that are not 0, in scan order."""
     seen = df.where(F.col(value) != 0).groupBy(F.col(value).alias("id")).agg(F.min(F.col("j").cast("long") * m.width + F.col("i")).alias("at"))
     return seen.orderBy("at").limit(most).withColumn("slot", F.row_number().over(Window.orderBy("at")) - 1).select("slot", "id")
+
+
+def tiles_of_rect(m: Metrics, min_u: float, min_v: float, max_u: float, max_v: float) -> list[tuple[int, int]]:
+    """(tx, tz) of the tiles that a rectangle in [0, 1] touches, at least one; all if a corner is not a number."""
+    if not all(map(math.isfinite, (min_u, min_v, max_u, max_v))):
+        spans = [(0, m.width), (0, m.height)]
+    else:
+        unit = lambda t: min(max(t, 0.0), 1.0)
+        starts = [(min(math.floor(unit(lo) * n), n - 1), math.ceil(unit(hi) * n), n) for lo, hi, n in ((min_u, max_u, m.width), (min_v, max_v, m.height))]
+        spans = [(a, min(max(b, a + 1), n)) for a, b, n in starts]
+    (a, b), (c, d) = spans
+    return [(tx, tz) for tz in range(c // m.tile, (d - 1) // m.tile + 1) for tx in range(a // m.tile, (b - 1) // m.tile + 1)]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.math import clamp, nearest_int
+from ..functions.math import clamp, in_polygon, mix, nearest_int, polyline_distance, smooth01
+from ..sources.grid import Metrics, with_world
 
 
 def plateau(h: Column, low: float, high: float, soft: float) -> Column:
@@ -51,3 +54,17 @@ def root_cohesion(hardness: Column, vegetation: Column, boost: float) -> Column:
 
 def apply(df: DataFrame, expr: Column, value: str = "h") -> DataFrame:
     return df.withColumn(value, expr)
+
+
+def polygon_height(df: DataFrame, m: Metrics, points: Sequence[tuple[float, float]], height: float, falloff: float, carve: bool = False, set_elevation: bool = False, floored: bool = False) -> DataFrame:
+    """Raises, carves or sets heights inside a polygon in [0, 1], easing out over falloff (a share of the shorter side) beyond its edge; floored as in in_polygon."""
+    if len(points) < 3:
+        return df
+    reach = max(min(max(falloff, 0.0), 0.5) * max(min(m.world_x, m.world_z), 1.0), 1e-3)
+    d = with_world(df, m)
+    far = polyline_distance(F.col("x"), F.col("z"), [(u * m.world_x, v * m.world_z) for u, v in points], closed=True)
+    inside = in_polygon(F.col("x") / m.world_x, F.col("z") / m.world_z, points, floored)
+    h = F.col("h")
+    target = h - abs(height) if carve else F.lit(float(height)) if set_elevation else h + height
+    d = d.withColumn("__w", F.when(inside, 1.0).otherwise(smooth01(1.0 - far / reach)))
+    return d.withColumn("h", F.when(F.col("__w") <= 1e-4, h).otherwise(mix(h, target, F.col("__w")))).select(*df.columns)

@@ -539,7 +539,7 @@ def _seg_sql(a, b) -> str:
 def polygon_and_spline_masks(spark, sf_dir):
     x, z = F.col("x"), F.col("z")
     c = source.with_world(source.cells(spark, M), M)
-    return rounded(c.select("i", "j", fm.in_polygon(x, z, _POLY).cast("int").alias("inside"), fm.polyline_distance(x, z, _POLY).alias("spline"), fm.polyline_distance(x, z, _POLY, True).alias("outline")), digits=8)
+    return rounded(c.select("i", "j", fm.in_polygon(x, z, _POLY, floored=True).cast("int").alias("inside"), fm.polyline_distance(x, z, _POLY).alias("spline"), fm.polyline_distance(x, z, _POLY, True).alias("outline")), digits=8)
 
 
 @query("mask_coverage", with_grid("SELECT avg(CASE WHEN w > 0.05 THEN 1.0::DOUBLE ELSE 0 END) AS coverage FROM k", LAYER))

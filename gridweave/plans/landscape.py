@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import masks, noise
 from ..functions.program import Program, run
-from ..operators import effects, filters, rock
+from ..operators import combine, effects, filters, hydrology, pointwise, rock
 from ..sources import grid as source
 from ..sources import landforms
 from .base import GRID, M, grid, rounded, with_grid
@@ -276,3 +276,49 @@ s AS (SELECT 0 AS it, i, j, ri, rj, 1 AS o FROM net UNION ALL
     LEFT JOIN (SELECT ri, rj, max(o) AS top, count(*) FILTER (WHERE o = most) AS ties FROM (SELECT ri, rj, o, max(o) OVER (PARTITION BY ri, rj) AS most FROM s) q GROUP BY ri, rj) d ON d.ri = n.i AND d.rj = n.j WHERE t.it < 40) u)"""
 ORACLE_SQL["strahler_order"] = f"{_CHANNELS} SELECT fl.i, fl.j, CAST(coalesce(s.o, 0) AS INT) AS strahler FROM fl LEFT JOIN s ON s.i = fl.i AND s.j = fl.j AND s.it = 40"
 ORACLE_SQL["seed_distance"] = with_grid("SELECT g.i, g.j, round(coalesce(least(sqrt(min((g.i - s.i) ** 2 + (g.j - s.j) ** 2)) / sqrt(2048.0::DOUBLE), 1), 1.0), 9) + 0.0 AS distance FROM g LEFT JOIN (SELECT i, j FROM g WHERE h > 60) s ON true GROUP BY 1, 2")
+
+
+# ------------------------------------------------------------------ polygons, valleys, tiles of a rectangle
+
+_POINTS = ((0.2, 0.2), (0.8, 0.3), (0.7, 0.75), (0.3, 0.6))
+_EDGES = list(zip(_POINTS, _POINTS[1:] + _POINTS[:1]))
+
+
+def _far_sql() -> str:
+    def one(a, b) -> str:
+        (ax, az), (bx, bz) = ((u * 320.0, v * 320.0) for u, v in (a, b))
+        dx, dz = bx - ax, bz - az
+        t = clamp_sql(f"((x - {ax!r}::DOUBLE) * {dx!r}::DOUBLE + (z - {az!r}::DOUBLE) * {dz!r}::DOUBLE) / {dx * dx + dz * dz!r}::DOUBLE")
+        return f"sqrt((x - ({ax!r}::DOUBLE + {t} * {dx!r}::DOUBLE)) ** 2 + (z - ({az!r}::DOUBLE + {t} * {dz!r}::DOUBLE)) ** 2)"
+
+    return f"least({', '.join(one(*e) for e in _EDGES)})"
+
+
+def _left_sql() -> str:
+    """Inside a convex polygon whose corners go around one way: on one side of every edge."""
+    return " AND ".join(f"({b[0] - a[0]!r}::DOUBLE) * (z / 320 - {a[1]!r}::DOUBLE) - ({b[1] - a[1]!r}::DOUBLE) * (x / 320 - {a[0]!r}::DOUBLE) > 0" for a, b in _EDGES)
+
+
+@query("polygon_height", with_grid(f"""SELECT i, j, round(CASE WHEN w <= 1e-4 THEN h ELSE h * (1 - w) + (h + 12) * w END, 7) + 0.0 AS raised, round(CASE WHEN w <= 1e-4 THEN h ELSE h * (1 - w) + (h - 12) * w END, 7) + 0.0 AS carved, round(CASE WHEN w <= 1e-4 THEN h ELSE h * (1 - w) + 12 * w END, 7) + 0.0 AS made
+  FROM (SELECT *, CASE WHEN {_left_sql()} THEN 1 ELSE t * t * (3 - 2 * t) END AS w FROM (SELECT *, {clamp_sql(f'1 - {_far_sql()} / 32.0')} AS t FROM gs) a) b""", f"{_N4}, {_SLOPED}"))
+def polygon_height(spark, sf_dir):
+    g = grid(spark, sf_dir)
+    made = {k: pointwise.polygon_height(g, M, _POINTS, 12.0, 0.1, **o).withColumnRenamed("h", k) for k, o in {"raised": {}, "carved": {"carve": True}, "made": {"set_elevation": True}}.items()}
+    return rounded(made["raised"].join(made["carved"], ["i", "j"]).join(made["made"], ["i", "j"]), digits=7)
+
+
+@query("valley_mask", _PATHS + f", a AS (SELECT i, j, count(*) AS area FROM w0 GROUP BY i, j), {_N4}, {_P}, {_RV} SELECT i, j, CASE WHEN area >= 4 OR valley > 0.65 THEN 1.0 ELSE 0.0 END::DOUBLE AS valley FROM a JOIN rv USING (i, j)".replace("w0", "paths"))
+def valley_mask(spark, sf_dir):
+    d = hydrology.accumulate(rock.ridge_valley(grid(spark, sf_dir), M, 12.0))
+    return d.select("i", "j", F.when((F.col("area") >= 4.0) | (F.col("valley") > 0.65), 1.0).otherwise(0.0).alias("valley"))
+
+
+ORACLE_SQL["valley_mask"] = ORACLE_SQL["valley_mask"].replace(", w AS (SELECT i AS si", ", paths AS (SELECT i AS si", 1).replace("FROM w JOIN fl ON fl.i = w.i AND fl.j = w.j", "FROM paths w JOIN fl ON fl.i = w.i AND fl.j = w.j")
+
+_RECTS = ((0.1, 0.2, 0.5, 0.4), (0.0, 0.0, 1.0, 1.0), (0.74, 0.99, 0.74, 1.5))
+
+
+@query("tiles_of_rect", f"""SELECT CAST(r AS INT) AS rect, CAST(x.range AS INT) AS tx, CAST(z.range AS INT) AS tz FROM (VALUES {', '.join(f'({k}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)' for k, (a, b, c, d) in enumerate(_RECTS))}) v(r, a, b, c, d), range(4) x, range(4) z
+  WHERE x.range BETWEEN floor(least(floor(a * 32), 31) / 8) AND floor((greatest(least(ceil(least(c, 1) * 32), 32), least(floor(a * 32), 31) + 1) - 1) / 8) AND z.range BETWEEN floor(least(floor(b * 32), 31) / 8) AND floor((greatest(least(ceil(least(d, 1) * 32), 32), least(floor(b * 32), 31) + 1) - 1) / 8)""")
+def tiles_of_rect(spark, sf_dir):
+    return spark.createDataFrame([(k, *t) for k, r in enumerate(_RECTS) for t in combine.tiles_of_rect(M, *r)], "rect int, tx int, tz int")

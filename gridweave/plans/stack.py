@@ -86,6 +86,7 @@ LAYERS: dict[str, Callable[[DataFrame, Metrics, dict], DataFrame]] = {
     "coastal": lambda df, m, p: df.withColumn("h", pointwise.coastal(F.col("h"), p["sea_level"], p["beach_width"], p.get("shelf_depth", 0.0), p.get("flatten_below", True))),
     "blur": _blur,
     "thermal_erosion": lambda df, m, p: hydrology.thermal(df, m, p.get("talus_angle_deg", 32.0), p.get("strength", 0.5), p.get("iterations", 4), 1.0 - p.get("hardness", 0.0)),
+    "polygon_height": lambda df, m, p: pointwise.polygon_height(df, m, [tuple(q) for q in p["points"]], p.get("height", 10.0), p.get("falloff", 0.05), p.get("carve", False), p.get("set_elevation", False)),
     "crater": lambda df, m, p: filters.apply(df.withColumn("h", F.lit(0.0)), m, "crater", filters.Options(**p)),
     "effect_filter": lambda df, m, p: filters.apply(df, m, p["filter"], filters.Options(**{k: v for k, v in p.items() if k != "filter"})),
 }

@@ -64,3 +64,23 @@ def test_sectors_hold_each_offset_once():
     for radius, sectors in ((1, 4), (2, 4), (3, 8)):
         got = [p for s in effects.sectors_of(radius, sectors) for p in s]
         assert len(got) == len(set(got)) == sum(0 < a * a + b * b <= radius * radius for a in range(-radius, radius + 1) for b in range(-radius, radius + 1))
+
+
+def test_polygon_against_an_independent_test(spark):
+    """Half-planes of the triangles that a star-shaped polygon is made of."""
+    from gridweave.functions.math import in_polygon
+
+    ring = [(0.1, 0.1), (0.5, 0.3), (0.9, 0.15), (0.65, 0.55), (0.8, 0.9), (0.45, 0.7), (0.15, 0.85), (0.3, 0.5)]
+    centre = (0.5, 0.5)
+    side = lambda p, a, b: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+
+    def inside(p):
+        for a, b in zip(ring, ring[1:] + ring[:1]):
+            s = [side(p, *e) for e in ((centre, a), (a, b), (b, centre))]
+            if all(v >= 0 for v in s) or all(v <= 0 for v in s):
+                return True
+        return False
+
+    points = [((k % 31) / 31 + 0.0137, (k // 31) / 31 + 0.0071) for k in range(31 * 31)]
+    got = spark.createDataFrame(points, "x double, y double").select("x", "y", in_polygon(F.col("x"), F.col("y"), ring).alias("in")).collect()
+    assert all(r["in"] == inside((r.x, r.y)) for r in got)
