@@ -275,7 +275,6 @@ s AS (SELECT 0 AS it, i, j, ri, rj, 1 AS o FROM net UNION ALL
   SELECT it + 1, i, j, ri, rj, o FROM (SELECT t.it, n.i, n.j, n.ri, n.rj, CASE WHEN d.top IS NULL THEN 1 WHEN d.ties > 1 THEN d.top + 1 ELSE d.top END AS o FROM net n CROSS JOIN (SELECT max(it) AS it FROM s) t
     LEFT JOIN (SELECT ri, rj, max(o) AS top, count(*) FILTER (WHERE o = most) AS ties FROM (SELECT ri, rj, o, max(o) OVER (PARTITION BY ri, rj) AS most FROM s) q GROUP BY ri, rj) d ON d.ri = n.i AND d.rj = n.j WHERE t.it < 40) u)"""
 ORACLE_SQL["strahler_order"] = f"{_CHANNELS} SELECT fl.i, fl.j, CAST(coalesce(s.o, 0) AS INT) AS strahler FROM fl LEFT JOIN s ON s.i = fl.i AND s.j = fl.j AND s.it = 40"
-ORACLE_SQL["seed_distance"] = with_grid("SELECT g.i, g.j, round(coalesce(least(sqrt(min((g.i - s.i) ** 2 + (g.j - s.j) ** 2)) / sqrt(2048.0::DOUBLE), 1), 1.0), 9) + 0.0 AS distance FROM g LEFT JOIN (SELECT i, j FROM g WHERE h > 60) s ON true GROUP BY 1, 2")
 
 
 # ------------------------------------------------------------------ polygons, valleys, tiles of a rectangle

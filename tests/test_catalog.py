@@ -2,7 +2,7 @@
 
 import pytest
 
-from gridweave.plans import catalog, landscape  # noqa: F401  (registers its queries)
+from gridweave.plans import catalog, drainage, landscape  # noqa: F401  (register their queries)
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
