@@ -101,30 +101,32 @@ def fit(samples: DataFrame, smoothing: float = SMOOTHING) -> tuple[list[float],
 
 
 def _located(text: Column, pattern: str, group: int, needs: Column | None = None) -> Column:
-    """(start, end, hit) of each leftmost match, in code points: what lies between matches gives the places.
+    """(start, end, hit, match) of each leftmost match, in code points: what lies between matches gives the places.
 
+    start, end and hit are those of the group, match is where the whole match starts; a group ends where its match does.
     needs: something cheap without which the pattern cannot match.
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.char_length)
     own = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
     zipped = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), own.alias("own"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,hit:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:bigint,end:bigint,hit:string,match:bigint>>")
+    zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
 
     def step(st, x):
         end = st.at + x.gap + F.coalesce(F.char_length(x.hit), F.lit(0))
-        span = F.struct((end - F.char_length(x.own)).cast("long").alias("start"), end.cast("long").alias("end"), x.own.alias("hit"))
+        span = F.struct((end - F.char_length(x.own)).cast("long").alias("start"), end.cast("long").alias("end"), x.own.alias("hit"), (st.at + x.gap).cast("long").alias("match"))
         return F.struct(end.cast("long").alias("at"), F.when(x.hit.isNull(), st.out).otherwise(F.concat(st.out, F.array(span))).alias("out"))
 
-    none = F.array().cast("array<struct<start:bigint,end:bigint,hit:string>>")
     return F.when(text.rlike(pattern) if needs is None else needs & text.rlike(pattern), F.aggregate(zipped, zero, step, lambda st: st.out)).otherwise(none)
 
 
 def scan(docs: DataFrame, model: tuple[list[float], float] | None = None) -> DataFrame:
-    """doc_id and spans: array of (start, end, kind, base) of every whole text, by start, then kind.
+    """doc_id, base and spans: arrays of (start, kind, end, match) of every whole text, by start, then kind.
 
     kind is a place in KINDS. Base spans come from the patterns; that of an assign
-    match is its value (group 2), without the key word. The Markov models add
+    match is its value (group 2), without the key word, and match is where the
+    whole match starts, with the key word (of other kinds: start). The Markov models add
     candidates with a letter and a digit whose mean log-likelihood ratio exceeds
     threshold, unless they touch a base span. Of runs that are not added, the
     parts between / = - and _ are scored in the same way on their own. A key
@@ -141,13 +143,13 @@ def scan(docs: DataFrame, model: tuple[list[float], float] | None = None) -> Dat
     d = d.select("doc_id", _located(text, ASSIGN, 1, F.contains(text, F.lit(":")) | F.contains(text, F.lit("="))).alias("assign"), _located(text, ACCESS, 0, F.contains(text, F.lit("AKIA"))).alias("access"), _located(text, HEX, 0).alias("hex"), _located(text, CANDIDATE, 0).alias("markov"), _located(text, PART, 0).alias("parts"))
 
     def tagged(kind: int, spans: Column) -> Column:
-        return F.transform(spans, lambda x: F.struct(x.start.alias("start"), F.lit(kind).alias("kind"), x.end.alias("end")))
+        return F.transform(spans, lambda x: F.struct(x.start.alias("start"), F.lit(kind).alias("kind"), x.end.alias("end"), x.match.alias("match")))
 
     base = F.concat(tagged(0, F.filter("assign", lambda x: x.end - x.start >= MIN_ASSIGN)), tagged(1, F.col("access")), tagged(2, F.col("hex")))
     d = d.select("doc_id", "markov", "parts", F.array_sort(base).alias("base"))
     looks = lambda x: x.hit.rlike("[0-9]") & x.hit.rlike("[A-Za-z]") & (log_ratio(x.hit, table) > threshold)
     clear = lambda x, of: ~F.exists(of, lambda b: (b.start < x.end) & (x.start < b.end))
-    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
+    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,match:bigint>>")
     add = lambda of, rest: F.when(F.size(of) > 0, tagged(3, F.filter(of, lambda x: rest(x) & looks(x)))).otherwise(none)
     d = d.select("doc_id", "base", "parts", add("markov", lambda x: clear(x, "base")).alias("found"))
     extra = F.concat("found", add("parts", lambda x: clear(x, "base") & clear(x, "found")))
@@ -155,8 +157,10 @@ def scan(docs: DataFrame, model: tuple[list[float], float] | None = None) -> Dat
 
 
 def _joined(spans: str) -> Column:
+    """kind:start:end of each whole match, an assign's key word included, by start, then kind."""
     names = F.array(*map(F.lit, KINDS))
-    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x.kind + 1), x.start, x.end)), ",")
+    matches = F.array_sort(F.transform(spans, lambda x: F.struct(x.match.alias("start"), x.kind.alias("kind"), x.end.alias("end"))))
+    return F.array_join(F.transform(matches, lambda x: F.concat_ws(":", F.element_at(names, x.kind + 1), x.start, x.end)), ",")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -44,6 +44,28 @@ def test_query_digests(spark, sf_dir):
         assert set(filter(None, joined.split(","))) <= set(q.spans.split(","))
 
 
+def test_query_spans_are_whole_matches(spark, tmp_path):
+    fixed = [(50, "é𝒳 My_Token = 'abcdefgh', 0123456789abcdef0123456789abcdef secret=short"), (51, "token:abcdefghAKIA0123456789AB"), (52, "api_key=0123456789abcdef0123456789abcdef")]
+    rows = [*ODD, *fixed]
+    table(spark, [(i, t, None, None, None) for i, t in rows]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = secret_scan.query(spark, str(tmp_path)).collect()
+
+    def matches(t):
+        t = t or ""
+        out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 8]
+        return sorted(out + [x for x in brute_spans(t) if x[1] > 0])
+
+    joined = lambda spans: ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    counts = lambda spans: tuple(sum(k == n for _, k, _ in spans) for n in range(3))
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    assert Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == Counter((i, *counts(m), digest(joined(m))) for i, m in ((i, matches(t)) for i, t in rows))
+    of = {r.doc_id: r.spans for r in got}
+    assert (of[50], of[51], of[52]) == ("assign:6:23,hex:26:58", "assign:0:30,access:14:30", "assign:0:40,hex:8:40")
+    assert all(set(filter(None, joined(matches(t)).split(","))) <= set(of[i].split(",")) for i, t in rows)
+    places = lambda r: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x]
+    assert all([a for a, _ in places(r)] == sorted(a for a, _ in places(r)) for r in got)
+
+
 def test_markov_models_tell_random_strings_from_names(spark):
     texts = ["see ghp_16C7e42F292c6912E7710c838347Ae178B4a now", "wJalrXUtnFEMI/K7MDENG/bPxRfiCY1234EXAMPLEKEY", "user_account_identifier_2024 and", "https_server_connection_pool_v2", "com/example/project/module1/index", "anbletitionthtionbletion"]
     got = secret_scan.scan(table(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])).collect()
